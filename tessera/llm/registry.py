@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import OP9_SQL, op9_decontamination
 from tessera.llm.mixing import OP1_SQL, op1_mixing
 from tessera.llm.sharding import op5_sharding
+from tessera.llm.simhash import op2_simhash
+from tessera.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
     "op5_sharding": op5_sharding,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op1_mixing": OP1_SQL,
+    "op9_decontamination": OP9_SQL,
 }
