@@ -1,9 +1,9 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are the words of the lower-cased text (runs of letters and digits) and the
-first four and five characters of longer words.  The vocabulary holds the terms
-that go with either label on the training examples (likelihood ratio); a document's
-vector has 1 + ln(tf) times an inverse document frequency that is counted over all
+first four and five characters of longer words; a term that is frequent in a text
+counts once more under a mark for it.  The vocabulary holds the terms that go with
+label 1 on the training examples (likelihood ratio); a document's vector has 1 + ln(tf) times an inverse document frequency that is counted over all
 documents, and unit length.  The examples' postings lie in an inverted index cut
 into blocks with the largest weight of each: a search scores whole documents only
 where the blocks' bounds allow a place among the k best, so its result is exact.  The k
@@ -54,27 +54,50 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    """The word and, marked by ^, its first four and five characters if it is longer."""
-    if len(word) > 5:
-        return (word, "^" + word[:4], "^" + word[:5])
-    return (word, "^" + word[:4]) if len(word) > 4 else (word,)
-
-
-def count_terms(text: str | None, known: dict[str, int], memo: dict[str, tuple[int, ...]]) -> tuple[list[int], list[int]]:
-    """(term numbers, counts) of the terms of ``text`` in ``known``, by term number."""
-    if not text:
-        return [], []
-    if len(memo) > MEMO:
-        memo.clear()
-    found: Counter[int] = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        ids = memo.get(word)
-        if ids is None:
-            ids = memo[word] = tuple(known[t] for t in terms_of(word) if t in known)
-        for i in ids:
-            found[i] += n
-    ids = sorted(found)
-    return ids, [found[i] for i in ids]
+    """The word and, marked by ^, its first four and five characters as far as it is longer."""
+    return (word, *["^" + word[:n] for n in (4, 5) if n < len(word)])
+
+
+def marks(term: str, n: int, length: int) -> list[str]:
+    """``term``, and marked by + and ++ if it is frequent: twice and 4 in 1000 words, thrice and 8 in 1000."""
+    found = [term]
+    if n >= 2 and 1000 * n >= 4 * length:
+        found.append(term + "+")
+        if n >= 3 and 1000 * n >= 8 * length:
+            found.append(term + "++")
+    return found
+
+
+def base_counts(text: str | None, wanted=None, memo: dict | None = None) -> tuple[Counter, int]:
+    """(unmarked terms' counts, number of words); ``wanted`` holds the terms to count, all if None."""
+    words = WORD.findall(text.lower()) if text else []
+    found: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        terms = None if memo is None else memo.get(word)
+        if terms is None:
+            terms = terms_of(word) if wanted is None else tuple(t for t in terms_of(word) if t in wanted)
+            if memo is not None:
+                memo[word] = terms
+        for t in terms:
+            found[t] += n
+    return found, len(words)
+
+
+class Counting:
+    """Counts the vocabulary's terms in texts, remembering the terms of words."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.wanted = {t.rstrip("+") for t in terms}
+        self.memo: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+        """(term numbers, counts), by term number."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        counts, length = base_counts(text, self.wanted, self.memo)
+        found = sorted((self.number[m], n) for t, n in counts.items() for m in marks(t, n, length) if m in self.number)
+        return [i for i, _ in found], [n for _, n in found]
 
 
 @dataclass
@@ -167,13 +190,13 @@ def in_fold(id_col: Column, parts: int, part: int) -> Column:
 
 
 def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that go with a label, from staged rows (id, label, t): by likelihood ratio, both ways."""
+    """Terms that go with label 1, from staged rows (id, label, t), by likelihood ratio."""
 
     def emit(batches):
         for b in batches:
             for text, label in zip(b.column("t"), b.column("label"), strict=True):
-                if words := set(WORD.findall((text.as_py() or "").lower())):
-                    terms = sorted({t for w in words for t in terms_of(w)})
+                counts, length = base_counts(text.as_py())
+                if terms := sorted(m for t, n in counts.items() for m in marks(t, n, length)):
                     yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([label.as_py()] * len(terms), pa.int32())], names=["term", "label"])
 
     ones, n = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
@@ -194,12 +217,10 @@ def vocabulary(examples: DataFrame) -> list[str]:
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, terms, counts) of every row."""
-    known = {t: i for i, t in enumerate(terms)}
-
     def count(batches):
-        memo: dict[str, tuple[int, ...]] = {}
+        counting = Counting(terms)
         for b in batches:
-            pairs = [count_terms(t.as_py(), known, memo) for t in b.column("t")]
+            pairs = [counting(t.as_py()) for t in b.column("t")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "id long, terms array<int>, counts array<int>")
@@ -267,16 +288,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, la
     """
     model, _ = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known = {t: i for i, t in enumerate(model.terms)}
     place = docs.columns.index(text_col)
 
     def keep(batches):
-        terms: dict[str, tuple[int, ...]] = {}
+        counting = Counting(shared.value.terms)
         memo: dict[tuple, bool] = {}
         for b in batches:
             stay = []
             for text in b.column(place):
-                ids, counts = count_terms(text.as_py(), known, terms)
+                ids, counts = counting(text.as_py())
                 key = (tuple(ids), tuple(counts))
                 if key not in memo:
                     if len(memo) > 20_000:
