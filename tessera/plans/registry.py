@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tessera.plans import ingest_queries
+
+QUERIES = {**ingest_queries.QUERIES}
+ORACLE_SQL = {**ingest_queries.oracle()}
