@@ -133,7 +133,7 @@ def is_contaminated(n_hit, n_words):
 
 def cut_text(text: str, drop: list[tuple[int, int]]) -> str:
     """``text`` without the characters from the first to the last word of each span."""
-    places = [m.span() for m in WORDS.finditer(text)]
+    places = [m.span() for m in WORDS.finditer(text.encode().lower().decode())]
     kept, at = [], 0
     for start, end in drop:
         kept.append(text[at : places[start][0]])
