@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +24,18 @@ CLEANING = (
 LATEX = r"\$|\\\w+|\\\["
 
 
+# The default English stop words.
+STOP_WORDS = (
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each "
+    "few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only "
+    "or other ought our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until "
+    "up upon us very was we were what when where which while who whom why will with would you your yours yourself yourselves"
+)
+
+
 def stop_words() -> list[str]:
-    """The default English stop words: Spark's own list, as a parameter of every operator that takes one."""
-    return sorted(set(StopWordsRemover.loadDefaultStopWords("english")))
+    """The default English stop words; every operator that drops stop words takes its own list."""
+    return STOP_WORDS.split()
 
 
 def clean_text(text: Column) -> Column:
@@ -54,12 +62,16 @@ def tokens(text: Column, stop: list[str]) -> Column:
 
 
 def ngrams(words: Column, most: int) -> Column:
-    """The words and, up to ``most`` words long, their sequences joined by a space."""
-    parts = [words]
-    for n in range(2, most + 1):
+    """The words and, up to ``most`` words long, their sequences joined by a space.
+
+    ``words`` should be a column, not an expression: it is read once for each sequence.
+    """
+
+    def joined(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(words, *[joined(n) for n in range(2, most + 1)]) if most > 1 else words
 
 
 def clean_keyword(term: Column, stop: list[str]) -> Column:

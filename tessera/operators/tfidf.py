@@ -23,8 +23,8 @@ class TfidfSpec:
 
 def term_counts(docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
     """(*by, doc, term, tf) from (*by, doc, text)."""
-    terms = F.explode(ngrams(tokens(F.col("text"), spec.stop), spec.most))
-    return docs.select(*by, "doc", terms.alias("term")).groupBy(*by, "doc", "term").agg(F.count("*").alias("tf"))
+    words = docs.select(*by, "doc", tokens(F.col("text"), spec.stop).alias("_words"))
+    return words.select(*by, "doc", F.explode(ngrams(F.col("_words"), spec.most)).alias("term")).groupBy(*by, "doc", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
