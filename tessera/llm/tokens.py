@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 
 #: The byte-level pattern that cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose tables a worker remembers.
-MEMO = 300_000
+# The same pattern over characters whose classes are plain, for the faster standard engine.
+PLAIN_LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+PLAIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{PLAIN_LETTERS}]+| ?[0-9]+| ?[^\t-\r 0-9{PLAIN_LETTERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+ODD = rf"[^\t-\r -~{PLAIN_LETTERS}]"
+#: Pieces whose counts a worker remembers, twice: those used since the last full memory, and those before.
+MEMO, TABLES = 400_000, 20_000
 #: Characters by which a prefix may be cut into pieces otherwise than the text: a contraction or white space before its end.
 BACK = 4
 
@@ -47,6 +52,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Totals(dict):
+    """Tokens of whole pieces, counted when first asked for; in two generations, so that what is used stays."""
+
+    def __init__(self, count) -> None:
+        self.count, self.before = count, {}
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= MEMO:
+            self.before = self.copy()
+            self.clear()
+        known = self.before.get(piece)
+        if known is None:
+            known = self.count(piece.encode())[-1]
+        self[piece] = known
+        return known
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes, for a byte-level BPE vocabulary in the tokenizers library's format."""
 
@@ -64,11 +86,15 @@ class PrefixCounter:
         self.longest = max(map(len, self.number))
         added = sorted((t["content"] for t in vocabulary.get("added_tokens", [])), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.pieces = regex.compile(PIECES)
+        self.any_pieces, self.plain_pieces, self.odd = regex.compile(PIECES), re.compile(PLAIN_PIECES), re.compile(ODD)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.whole = {t for t, n in self.number.items() if len(t) == 1 or self.fit(*self.parts[n], below=n)}
+        self.whole = {t: n for t, n in self.number.items() if len(t) == 1 or self.fit(*self.parts[n], below=n)}
         self.tables: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = Totals(self.byte_table)
+
+    def pieces(self, text: str) -> list[str]:
+        """The text as the tokenizer cuts it before it encodes."""
+        return (self.any_pieces if self.odd.search(text) else self.plain_pieces).findall(text)
 
     def fit(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether no merge made before ``below`` crosses the border between two tokens.
@@ -90,33 +116,48 @@ class PrefixCounter:
                 return True
 
     def byte_table(self, data: bytes) -> list[int]:
-        """Tokens of each prefix of a piece's bytes, the empty one first."""
-        counts, last = [0], [-1]
+        """Tokens of each prefix of a piece's bytes, the empty one first.
+
+        Only one token fits at each end, so the order of trial is free: first the
+        last token made longer, then the single byte, then all others.
+        """
+        counts, last, begin = [0], [-1], 0
         whole, fits = self.whole, self.fits
+
+        def suits(start: int, end: int) -> bool:
+            number = whole.get(data[start:end])
+            if number is None:
+                return False
+            if start:
+                pair = last[start], number
+                fine = fits.get(pair)
+                if fine is None:
+                    if len(fits) > 1_000_000:
+                        fits.clear()
+                    fine = fits[pair] = self.fit(*pair)
+                if not fine:
+                    return False
+            counts.append(counts[start] + 1)
+            last.append(number)
+            return True
+
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):  # the longest first: it fits most often
-                token = data[start:end]
-                if token in whole:
-                    number = self.number[token]
-                    fine = start == 0
-                    if not fine:
-                        pair = last[start], number
-                        fine = fits.get(pair)
-                        if fine is None:
-                            if len(fits) > 1_000_000:
-                                fits.clear()
-                            fine = fits[pair] = self.fit(*pair)
-                    if fine:
-                        counts.append(counts[start] + 1)
-                        last.append(number)
-                        break
+            if suits(begin, end):
+                continue
+            if begin != end - 1 and suits(end - 1, end):
+                begin = end - 1
+                continue
+            for start in range(max(0, end - self.longest), end - 1):
+                if start != begin and suits(start, end):
+                    begin = start
+                    break
         return counts
 
     def table(self, piece: str) -> tuple[int, ...]:
         """Tokens of each prefix of a piece, by code points."""
         known = self.tables.get(piece)
         if known is None:
-            if len(self.tables) > MEMO:
+            if len(self.tables) > TABLES:
                 self.tables.clear()
             counts, at, out = self.byte_table(piece.encode()), 0, [0]
             for c in piece:
@@ -125,14 +166,6 @@ class PrefixCounter:
             known = self.tables[piece] = tuple(out)
         return known
 
-    def total(self, piece: str) -> int:
-        known = self.totals.get(piece)
-        if known is None:
-            if len(self.totals) > MEMO:
-                self.totals.clear()
-            known = self.totals[piece] = self.table(piece)[-1]
-        return known
-
     def segments(self, text: str):
         """(plain text, whether an added token follows it)."""
         if self.added is None or not (found := list(self.added.finditer(text))):
@@ -148,19 +181,19 @@ class PrefixCounter:
         """Tokens of the whole text: the last entry of its prefix table."""
         if not text:
             return 0
-        total = self.total
-        return sum(sum(map(total, self.pieces.findall(part))) + added for part, added in self.segments(text))
+        total = self.totals.__getitem__
+        return sum(sum(map(total, self.pieces(part))) + added for part, added in self.segments(text))
 
     def prefix_table(self, text: str | None) -> PrefixTable:
         """Counts at every prefix, held by pieces."""
         text = text or ""
         starts, before, special, so_far, at = [], [], [], 0, 0
         for part, added in self.segments(text):
-            for piece in self.pieces.findall(part):
+            for piece in self.pieces(part):
                 starts.append(at)
                 before.append(so_far)
                 special.append(False)
-                so_far += self.total(piece)
+                so_far += self.totals[piece]
                 at += len(piece)
             if added:
                 starts.append(at)
@@ -198,7 +231,7 @@ class PrefixTable:
         while i > 0 and not self.special[i - 1] and end - self.starts[i] < BACK + 16 and not self.stable(i):
             i -= 1
         rest = self.text[self.starts[i] : end]
-        return self.before[i] + sum(self.counter.total(p) if len(p) < len(rest) else self.counter.table(p)[len(p)] for p in self.counter.pieces.findall(rest))
+        return self.before[i] + sum(self.counter.totals[p] if len(p) < len(rest) else self.counter.table(p)[len(p)] for p in self.counter.pieces(rest))
 
     def stable(self, i: int) -> bool:
         """Whether a cut just inside piece ``i`` leaves the pieces before it as they are."""
@@ -248,9 +281,9 @@ def token_counts(df: DataFrame, vocabulary_path: str, budget: int = 512, id_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(totals), pa.array(cuts)], names=["id", "n_bytes", "n_tokens", "cut"])
 
     def first_part(text: str, tokens: int) -> int:
-        """Code points that surely hold ``tokens`` tokens and one piece more, found by doubling."""
-        counter, size = counter_of(shared.value), 8 * tokens + 256
-        while size < len(text) and counter.count(text[:size]) <= 2 * tokens:
+        """Code points from the start that hold more than ``tokens`` tokens, found by doubling."""
+        counter, size = counter_of(shared.value), 3 * tokens + 64
+        while size < len(text) and counter.count(text[:size]) <= tokens + 8:
             size *= 2
         return size
 
