@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import ingest_queries, search_queries, trend_queries
+from tessera.plans import ingest_queries, ml_queries, search_queries, trend_queries
 
-QUERIES = {**ingest_queries.QUERIES, **trend_queries.QUERIES, **search_queries.QUERIES}
-ORACLE_SQL = {**ingest_queries.oracle(), **trend_queries.oracle(), **search_queries.oracle()}
+QUERIES = {**ingest_queries.QUERIES, **trend_queries.QUERIES, **search_queries.QUERIES, **ml_queries.QUERIES}
+ORACLE_SQL = {**ingest_queries.oracle(), **trend_queries.oracle(), **search_queries.oracle(), **ml_queries.oracle()}
