@@ -16,8 +16,7 @@ Defined results
 * An item with a null id takes part like any other and is listed as the text "null".
 * Items that repeat an id are one item; rows that repeat a document each get their row.
 * Empty tables give an empty result, or no hits, with the same schema.
-* Only the named columns are read, so others, whatever their names, do not clash;
-  :func:`decontaminated` alone uses a column named ``_cut``.
+* Other columns, whatever their names, do not clash.
 """
 
 from __future__ import annotations
@@ -168,7 +167,7 @@ def decontaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", leng
 
     out = df.mapInArrow(clean, schema)
     if length_col in df.columns:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(schema[length_col].dataType)))
+        out = out.withColumn(length_col, F.when(F.col(f"`{text_col}`").isNull(), F.col(f"`{length_col}`")).otherwise(F.char_length(F.col(f"`{text_col}`")).cast(schema[length_col].dataType)))
     return out
 
 

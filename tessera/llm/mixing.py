@@ -14,7 +14,7 @@ Defined results
 * A source of size 0 has the target 0; a document of size 0 is taken like any other, for 0 words.
 * Rows that repeat an id are separate documents that are drawn alike; a null id is hashed as the text "null".
 * An empty table gives an empty result with the same schema.
-* Only the named columns are read inside; in :func:`mixed_rows`, columns of ``df`` named ``mix_*`` give way.
+* Other columns, whatever their names, do not clash; in :func:`mixed_rows`, columns named as the two that it adds give way.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.plans.staging import join_small, small, staged
 
 #: Rows of a table about sources or blocks up to which it is broadcast (some tens of bytes each).
@@ -161,23 +162,24 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return draw(narrow, spec).select("id", F.col("skey").alias("source_key"), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "draws")
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", spec: MixSpec = MixSpec()) -> DataFrame:
-    """The mix itself: a row of ``df`` for each copy drawn, with mix_shard and mix_order.
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", spec: MixSpec = MixSpec(), shard_col: str = "mix_shard", order_col: str = "mix_order") -> DataFrame:
+    """The mix itself: a row of ``df`` for each copy drawn, with its shard and its place in the shard's order.
 
     Rows are grouped by shard and in hash order within it: write the result
-    partitioned by ``mix_shard``, or drop the two columns to read it as it lies.
+    partitioned by ``shard_col``, or drop the two columns to read it as it lies.
     """
+    rows = df.drop(shard_col, order_col)
+    skey, size, h, draws, one = (fresh(rows, x) for x in ("mix_skey", "mix_size", "mix_h", "mix_draws", "mix_draw"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("mix_")])
-    sized = rows.withColumns({"mix_skey": source_key(F.col(f"`{source_col}`").cast("string")), "mix_size": word_count(F.col(f"`{text_col}`")), "mix_h": hash60(F.lit(spec.seed), key)})
-    plan = draw(staged(sized.select(F.col("mix_skey").alias("skey"), F.col("mix_size").alias("size"), F.col("mix_h").alias("h"))), spec)
+    sized = rows.withColumns({skey: source_key(F.col(f"`{source_col}`").cast("string")), size: word_count(F.col(f"`{text_col}`")), h: hash60(F.lit(spec.seed), key)})
+    plan = draw(staged(sized.select(F.col(skey).alias("skey"), F.col(size).alias("size"), F.col(h).alias("h"))), spec)
     # what is drawn depends on (source, id hash, size) alone, so the texts meet one row for each
-    plan = plan.where(F.size("draws") > 0).groupBy("skey", "size", "h").agg(F.first("draws").alias("mix_draws"))
-    plan = plan.select(F.col("skey").alias("mix_skey"), F.col("size").alias("mix_size"), F.col("h").alias("mix_h"), "mix_draws")
-    rows = sized.join(plan, ["mix_skey", "mix_size", "mix_h"]).withColumn("mix_draw", F.explode("mix_draws"))
-    rows = rows.withColumn("mix_shard", F.col("mix_draw.shard")).withColumn("mix_order", hash60(F.lit(spec.seed), F.lit("order"), F.col("mix_draw.pass").cast("string"), F.col("mix_h").cast("string")))
-    rows = rows.drop("mix_skey", "mix_size", "mix_h", "mix_draws", "mix_draw")
-    return rows.repartition("mix_shard", F.col("mix_order") % 64).sortWithinPartitions("mix_shard", "mix_order")
+    plan = plan.where(F.size("draws") > 0).groupBy("skey", "size", "h").agg(F.first("draws").alias(draws))
+    plan = plan.withColumnsRenamed({"skey": skey, "size": size, "h": h})
+    out = sized.join(plan, [skey, size, h]).withColumn(one, F.explode(draws))
+    out = out.withColumn(shard_col, F.col(f"{one}.shard")).withColumn(order_col, hash60(F.lit(spec.seed), F.lit("order"), F.col(f"{one}.pass").cast("string"), F.col(h).cast("string")))
+    out = out.drop(skey, size, h, draws, one)
+    return out.repartition(shard_col, F.col(order_col) % 64).sortWithinPartitions(shard_col, order_col)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.plans.staging import staged
 
 #: (shift, bits) of the three segments.
@@ -262,37 +263,41 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of a class of null ids one row stays.
     """
     marked = near_duplicates(df, id_col, text_col)
-    first = marked.where("id is not null and id = component_id").select(F.col("id").alias("_keep_id")).distinct()
-    stay = df.join(first, F.col(f"`{id_col}`") == F.col("_keep_id"), "left_semi")
-    repeated = staged(stay.groupBy(F.col(f"`{id_col}`").alias("_keep_id")).count().where("count > 1").select("_keep_id"))
-    unnamed = df.where(F.col(f"`{id_col}`").isNull())
+    own, key = F.col(f"`{id_col}`"), fresh(df, "keep_id")
+    first = marked.where("id is not null and id = component_id").select(F.col("id").alias(key)).distinct()
+    stay = df.join(first, own == F.col(key), "left_semi")
+    repeated = staged(stay.groupBy(own.alias(key)).count().where(F.col("count") > 1).select(key))
     if not repeated.isEmpty():
-        twice = stay.join(repeated, F.col(f"`{id_col}`") == F.col("_keep_id"), "left_semi")
-        stay = stay.join(repeated, F.col(f"`{id_col}`") == F.col("_keep_id"), "left_anti").unionByName(one_each(twice, F.col(f"`{id_col}`"), text_col))
+        twice = stay.join(repeated, own == F.col(key), "left_semi")
+        stay = stay.join(repeated, own == F.col(key), "left_anti").unionByName(one_each(twice, own, text_col))
+    unnamed = df.where(own.isNull())
     if not unnamed.isEmpty():
-        alone = marked.where("component_id is null").select("fp").distinct()
-        prints = staged(fingerprints_kept(unnamed, text_col))
-        roots = components(staged(link_edges(alone)))
-        prints = prints.join(alone, prints["_keep_fp"] == alone["fp"], "left_semi").join(roots, F.col("_keep_fp") == F.col("node"), "left")
-        stay = stay.unionByName(one_each(prints.withColumn("_keep_root", F.coalesce("root", "_keep_fp")), F.col("_keep_root"), text_col).select(*[F.col(f"`{c}`") for c in df.columns]))
+        print_col, node, root = fresh(df, "keep_fp"), fresh(df, "keep_node"), fresh(df, "keep_root")
+        alone = staged(marked.where("component_id is null").select("fp").distinct())
+        roots = components(staged(link_edges(alone))).select(F.col("node").alias(node), F.col("root").alias(root))
+        rows = with_prints(unnamed, text_col, print_col).join(alone.withColumnRenamed("fp", key), F.col(print_col) == F.col(key), "left_semi")
+        rows = rows.join(roots, F.col(print_col) == F.col(node), "left")
+        stay = stay.unionByName(one_each(rows, F.coalesce(F.col(root), F.col(print_col)), text_col).select(*[F.col(f"`{c}`") for c in df.columns]))
     return stay
 
 
 def one_each(df: DataFrame, key, text_col: str) -> DataFrame:
+    """Of the rows that share a key, the one with the least text."""
+    n = fresh(df, "keep_n")
     order = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    return df.withColumn("_keep_n", F.row_number().over(order)).where("_keep_n = 1").drop("_keep_n")
+    return df.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
 
 
-def fingerprints_kept(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with its fingerprints as ``_keep_fp``."""
+def with_prints(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with its fingerprints."""
+    place = df.columns.index(text_col)
 
     def scan(batches):
         for b in batches:
-            prints = np.fromiter((fingerprint(t.as_py().encode() if t.is_valid else None) for t in b.column(text_col)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*b.schema.names, "_keep_fp"])
+            prints = np.fromiter((fingerprint(t.as_py().encode() if t.is_valid else None) for t in b.column(place)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*b.schema.names, name])
 
-    schema = df.select("*", F.lit(0).cast("long").alias("_keep_fp")).schema
-    return df.mapInArrow(scan, schema)
+    return df.mapInArrow(scan, df.select("*", F.lit(0).cast("long").alias(name)).schema)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -22,8 +22,7 @@ Defined results
 * Of labels that repeat an id the largest counts; rows that repeat a document each get their row.
 * Without any usable label every score is 0.  An empty table gives an empty result with the same schema.
 * Equal cosines prefer the example with the smaller hash, then the smaller id.
-* Only the named columns are read, so others, whatever their names, do not clash;
-  :func:`without_toxic` alone adds and drops a column named ``_toxic_score``.
+* Other columns, whatever their names, do not clash.
 """
 
 from __future__ import annotations

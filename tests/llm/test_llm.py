@@ -432,3 +432,11 @@ def test_pipeline_against_its_stages(spark):
     stay = {ids[c] for c in root}
     dirty = {r.id for r in decontaminate.scan(docs, spark.read.parquet(f"{where}/benchmark.parquet")).where(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).collect()}
     assert {r.doc_id for r in out} <= stay - dirty and max(Counter(r.doc_id for r in out).values()) <= 2
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    df = docs(spark, extra=False).withColumns({c: F.lit("x") for c in ("size", "keep_id", "mix_h", "mix_shard", "shard", "fp")})
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, df, SF), stage(spark, df.limit(0), SF)
+        assert empty.count() == 0 and 0 < out.count() <= 2 * df.count(), name
+        assert name == "sharding" or out.columns == df.columns
