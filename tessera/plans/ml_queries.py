@@ -8,6 +8,7 @@ from tessera.functions.vectors import cleaned, norm, unit
 from tessera.operators import cluster as C
 from tessera.operators import evaluate as E
 from tessera.operators import forecast as A
+from tessera.operators import gridsearch as G
 from tessera.operators import reduce as D
 from tessera.operators import trends as Z
 from tessera.operators.vectors import standardised
@@ -110,11 +111,24 @@ def forecast_mape(spark, d):
     return Z.mape(arima_forecast(spark, d).where("kind = 'fitted'"), "y", "yhat", ["category"])
 
 
+def clustering_grid(spark, d):
+    """A small grid over all methods: what each fit found, without its running time."""
+    grids = {"kmeans": G.grid(k=[2, 5], starts=[1]), "dbscan": G.grid(eps=[0.5, 0.9], min_samples=[5]), "agglomerative": G.grid(k=[5], linkage=["ward", "complete"])}
+    return G.fits(vectors(spark, d), "vec_id", "v", grids, most=300).drop("runtime_seconds")
+
+
+def reduction_table(spark, d):
+    """For each number of components all methods with their scores, as JSON."""
+    scored = rounded(E.compression_scores(spark.sql(REDUCTIONS)), "score")
+    rows = scored.groupBy("n_components").agg(F.sort_array(F.collect_list(F.struct("method", "score", "explained_variance", "reconstruction_mse", "excluded"))).alias("methods"))  # a row for each method
+    return rows.select("n_components", F.to_json("methods").alias("methods"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         minmax_scores, grid_best_per_method, compression_scores, reduction_choice, label_evaluation, silhouette_sample, kmeans_labels, kmeans_quality, pca_project, truncated_svd,
-        dbscan_labels, agglomerative_labels, umap_layout, embed_hash, arima_forecast, forecast_mape,
+        dbscan_labels, agglomerative_labels, umap_layout, embed_hash, arima_forecast, forecast_mape, clustering_grid, reduction_table,
     )
 }
 

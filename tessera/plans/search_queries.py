@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text, stop_words
@@ -9,6 +11,7 @@ from tessera.operators import rules as R
 from tessera.operators import search as S
 from tessera.operators import tfidf as T
 from tessera.plans.corpus import PAPERS_SQL, papers, table
+from tessera.plans.staging import staged
 from tessera.plans.trend_queries import clean_sql, tfidf_sql
 
 KEYWORD_SPEC = T.TfidfSpec(most=1, min_df=2, max_df=0.6, features=8000)
@@ -42,6 +45,20 @@ def search_rank(spark, d):
     return rounded(found, "page_rank_score", "search_text_score").select("paper_id", "title", "cluster_id", "search_text_score", "author_match_score", "cluster_match_score", "page_rank_score")
 
 
+CASES = {
+    "topic": S.Request(QUERY), "author": S.Request(author="Bo Chen"), "cluster": S.Request(cluster=3), "topic_author": S.Request(QUERY, "Bo Chen"),
+    "topic_cluster": S.Request(QUERY, cluster=3), "author_cluster": S.Request(author="chen", cluster=2), "all": S.Request(QUERY, "Bo Chen", 3),
+}
+
+
+def search_cases(spark, d):
+    """Seven requests, of every mix of text, author and cluster, over one index."""
+    vocab, index = search_index(spark, d)
+    scores, everything = staged(T.text_scores(index, T.query_weights(QUERY, vocab, SEARCH_SPEC))), papers(spark, d)
+    parts = [S.rank(everything, scores if r.text else scores.limit(0), r).select(F.lit(case).alias("request"), "paper_id", F.round("page_rank_score", 6).alias("page_rank_score")) for case, r in CASES.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def tfidf_weights(spark, d):
     index = T.tfidf(texts(spark, d), KEYWORD_SPEC)
     return rounded(index.groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("weight").alias("best"), F.sum(F.col("weight") * F.col("weight")).alias("length")), "best", "length")
@@ -178,7 +195,7 @@ def keyword_papers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_rank, tfidf_weights, doc_keywords, query_keywords, transactions, frequent_pairs, association_rules, rule_types, rule_match, rule_browser, vector_normalise,
+        search_rank, search_cases, tfidf_weights, doc_keywords, query_keywords, transactions, frequent_pairs, association_rules, rule_types, rule_match, rule_browser, vector_normalise,
         vector_standardise, seed_centroid_neighbours, same_cluster_neighbours, same_author, association_recommend, recommendation_document, app_search_blend,
         app_similar_recency, app_weighted_sample, cluster_summary, map_join_filter, keyword_papers,
     )
@@ -223,7 +240,15 @@ def oracle() -> dict[str, str]:
     context = "[" + ", ".join(f"'{c}'" for c in CONTEXT) + "]"
     words = "list_filter(list_transform(list(term ORDER BY k), lambda t: {}), lambda x: x IS NOT NULL)"
     one = f"CASE WHEN length(t) >= 3 AND NOT list_contains({stop}, t) THEN t END"
+    def case(name: str, r: S.Request) -> str:
+        st = "coalesce(score, 0)" if r.text else "0"
+        sa = author(r.author.lower()) if r.author else "0"
+        sc = f"(cluster_id = {r.cluster})::INT" if r.cluster is not None else "0"
+        return f"""(SELECT '{name}' AS request, paper_id, round(sp, 6) AS page_rank_score FROM (SELECT *, 0.6 * st + 0.25 * sa + 0.15 * sc AS sp
+            FROM (SELECT paper_id, {st}::DOUBLE AS st, {sa}::DOUBLE AS sa, {sc}::DOUBLE AS sc FROM p LEFT JOIN scores ON doc = paper_id)) ORDER BY sp DESC, sa DESC, st DESC, paper_id LIMIT 5)"""
+
     return {
+        "search_cases": f"WITH {tfidf_sql(SEARCH_SPEC, 'one', text)}, {query(SEARCH_SPEC)}, {p} " + " UNION ALL ".join(case(n, r) for n, r in CASES.items()),
         "search_rank": f"""WITH {tfidf_sql(SEARCH_SPEC, 'one', text)}, {query(SEARCH_SPEC)}, {p},
             s AS (SELECT paper_id, title, cluster_id, coalesce(score, 0) AS st, {author('bo chen')} AS sa, (cluster_id = 3)::INT::DOUBLE AS sc FROM p LEFT JOIN scores ON doc = paper_id), f AS (SELECT *, 0.6 * st + 0.25 * sa + 0.15 * sc AS sp FROM s)
             SELECT paper_id, title, cluster_id, round(st, 6) AS search_text_score, sa AS author_match_score, sc AS cluster_match_score, round(sp, 6) AS page_rank_score FROM f ORDER BY sp DESC, sa DESC, st DESC, paper_id LIMIT 5""",
