@@ -34,8 +34,8 @@ def texts(spark, d, most=None):
 
 def search_index(spark, d):
     docs = texts(spark, d)
-    counts = T.term_counts(docs, SEARCH_SPEC, [])
-    vocab = T.vocabulary(counts, docs, SEARCH_SPEC, [])
+    counts = staged(T.term_counts(docs, SEARCH_SPEC, []))  # read by the vocabulary, the index and the query
+    vocab = staged(T.vocabulary(counts, docs, SEARCH_SPEC, []))
     return vocab, T.weights(counts, vocab, [])
 
 
