@@ -6,7 +6,10 @@ notices, adverts, forms, comments) leave blank lines, as do lines outside the
 ``article`` or ``main`` of a page that has one, and lines that are mostly links in a
 page that has none.  The text lengths of ``LINES`` consecutive lines are summed, for
 every line on; a surge starts where the sum rises above a threshold and the line
-has text, a dive is where it falls to nothing, and the text between is kept.
+has text, a dive is where it falls to nothing, and the text between is kept.  In a
+page with a landmark only the landmark's lines have text, and what stands there
+before a surge, back to the last dive, is its heading or its short first lines and is
+kept with it; text that no surge follows before the next dive goes on every page.
 
 Defined results
 * A null page gives an empty text, as does a page without text.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: Lines in a window.
 LINES = 3
-#: The sum at which a surge starts on pages without landmarks: this share of the largest, at most so many characters.
+#: The sum at which a surge starts: this share of the largest, at most so many characters.
 SURGE_SHARE, SURGE_MOST = 0.2, 80
 
 TOKEN = re.compile(
@@ -133,29 +136,33 @@ def main_text(page: str | None) -> str:
     landmark = any(inside for _, _, inside, _ in lines)
     spaced: list[str] = []
     for text, linked, inside, hidden in lines:
-        if landmark:
-            spaced.append(text if inside else "")
-        else:
-            spaced += [""] * hidden
-            spaced.append("" if 2 * linked > len(text) else text)
-    return "\n".join(between(spaced, 0 if landmark else None))
+        spaced += [""] * hidden
+        away = not inside if landmark else 2 * linked > len(text)
+        spaced.append("" if away else text)
+    return "\n".join(between(spaced, landmark))
 
 
-def between(lines: list[str], surge: float | None) -> list[str]:
-    """The lines with text from every surge to the dive after it."""
+def between(lines: list[str], landmark: bool) -> list[str]:
+    """The lines with text from every surge to the dive after it; with a landmark also those from the dive before it."""
     size = [len(x) for x in lines] + [0] * LINES
     blocks = [sum(size[i : i + LINES]) for i in range(len(lines))]
-    if surge is None:
-        surge = min(SURGE_MOST, SURGE_SHARE * max(blocks, default=0))
+    surge = min(SURGE_MOST, SURGE_SHARE * max(blocks, default=0))
     kept: list[str] = []
+    before: list[str] = []
     rising = False
     for i, block in enumerate(blocks):
-        if not rising and block > surge and size[i]:
-            rising = True
-        elif rising and not block:
+        if not block:
             rising = False
-        if rising and size[i]:
-            kept.append(lines[i])
+            before.clear()
+        elif not rising and block > surge and size[i]:
+            rising = True
+            kept += before
+            before.clear()
+        if size[i]:
+            if rising:
+                kept.append(lines[i])
+            elif landmark:
+                before.append(lines[i])
     return kept
 
 

@@ -315,6 +315,14 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+def test_surge_and_dive_with_a_landmark():
+    story, away = "<h1>T</h1><p>Hm.</p><p>" + "word " * 60 + "</p><p>End.</p>", "<div>no</div>" * 4
+    want = "T\nHm.\n" + ("word " * 60).strip() + "\nEnd."
+    assert htmltext.main_text(f"<article>{story}</article>{away}<article><p>Teaser</p></article>") == want
+    assert htmltext.main_text(f"<article><p>Tell a friend</p>{'<nav>x</nav>' * 3}{story}</article>") == want
+    assert htmltext.main_text(f"<article>{story}</article>{away}<article>{story}</article>") == f"{want}\n{want}"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (2, None, None, "x"), (2, None, "<p>" * 50_000, "x")], "page_id long, url string, html string, text string")
     assert sorted((r.id, r.text, r.n_chars) for r in htmltext.extract(df).collect()) == [(1, "é", 1), (2, "", 0), (2, "", 0)]
