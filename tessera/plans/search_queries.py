@@ -77,7 +77,7 @@ def query_keywords(spark, d):
 def baskets(spark, d):
     """Orders as papers: a cluster, brands as keywords, suppliers as authors."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.where(F.col("l_suppkey") <= 10).select("l_orderkey", "l_returnflag", "p_brand", F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("s"))
+    lines = lines.select("l_orderkey", "l_returnflag", "p_brand", F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("s"))
     grouped = lines.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("c"), F.array_sort(F.collect_set("p_brand")).alias("k"), F.array_sort(F.collect_set("s")).alias("a"))
     return grouped.select(F.col("l_orderkey").alias("txn"), R.transaction(F.col("c"), F.col("k"), F.col("a")).alias("items"))
 
