@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that methods on all pairs work on, chosen by a hash of the id.
-PAIR_ROWS = 12_000
-TREE_ROWS = 2_000
+#: Rows that agglomerative clustering works on, which holds all pairs; chosen by a hash of the id.
+TREE_ROWS = 12_000
+#: Rows whose distances to all others are held at once.
+BLOCK = 256
 
 
-def kmeans(df: DataFrame, column: str, k: int = 5, starts: int = 3, rounds: int = 300, seed: int = 42):
+def kmeans(df: DataFrame, column: str, k: int = 5, starts: int = 10, rounds: int = 300, seed: int = 42):
     """The k-means model of the least cost out of ``starts`` seeds."""
     rows = df.select(array_to_vector(column).alias("features")).persist()
     try:
@@ -33,53 +35,107 @@ def hash_order(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(42), id_col), id_col).limit(most)
 
 
-def dbscan_labels(df: DataFrame, id_col: str, column: str, eps: float, min_samples: int, most: int = PAIR_ROWS) -> DataFrame:
-    """(id, cluster_id, is_core) of at most ``most`` rows: -1 is noise.
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``q`` to those of ``x``."""
+    return np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :], 0)
 
-    Neighbours are found block by block in executors that hold the bounded sample;
-    the driver joins core rows, at most ``most``, into clusters, numbered by their first row.
+
+def dbscan_labels(df: DataFrame, id_col: str, column: str, eps: float, min_samples: int) -> DataFrame:
+    """(id, cluster_id, is_core) of every row: -1 is noise.
+
+    Executors hold all vectors and compare them block by block, in three passes: rows
+    around each row, a forest of the links between core rows, the clusters that border
+    rows touch.  The driver joins the forests; clusters are numbered by their first core
+    row in the order of a hash of the id, and a border row is of the first it touches.
     """
     spark = df.sparkSession
-    rows = hash_order(df.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v")), "id", most).collect()
-    x = np.array([r.v for r in rows])
+    rows = df.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(42), "id"), "id").collect()
+    x = np.array([r.v for r in rows], dtype=float)
     n = len(rows)
+    if not n:
+        return spark.createDataFrame([], f"{id_col} {dict(df.dtypes)[id_col]}, cluster_id int, is_core boolean")
     shared = spark.sparkContext.broadcast(x)
 
-    def near(batches):
-        x = shared.value
+    def blocks(batches, x):
         for b in batches:
-            for i in b.id:
-                gap = ((x - x[i]) ** 2).sum(axis=1)
-                yield b[b.id == i].assign(near=[np.nonzero(gap <= eps * eps)[0].tolist()])[["id", "near"]]
-
-    around = {r.id: r.near for r in spark.range(n).mapInPandas(near, "id long, near array<long>").toLocalIterator()}
-    core = [len(around[i]) >= min_samples for i in range(n)]
-    label = [-1] * n
-    found = 0
-    for i in range(n):
-        if core[i] and label[i] < 0:
-            label[i], stack = found, [i]
-            while stack:
-                for j in around[stack.pop()]:
-                    if label[j] < 0:
-                        label[j] = found
-                        if core[j]:
-                            stack.append(j)
-            found += 1
-    return spark.createDataFrame([(r.id, label[i], core[i]) for i, r in enumerate(rows)], f"{id_col} {dict(df.dtypes)[id_col]}, cluster_id int, is_core boolean")
-
-
-def merge_tree(x: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Labels of k clusters by merging the two closest, by Lance and Williams' update; ``linkage`` is ward, average or complete."""
+            i = np.asarray(b.column(0))
+            for at in range(0, len(i), BLOCK):
+                part = i[at : at + BLOCK]
+                yield part, squared(x[part], x) <= eps * eps
+
+    def passed(scan):
+        found = spark.range(n).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in out], names=["a", "b"]) for out in scan(batches)), "a long, b long")
+        return np.array([tuple(r) for r in found.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+
+    sums = passed(lambda batches: ((i, near.sum(axis=1)) for i, near in blocks(batches, shared.value)))
+    core = np.zeros(n, dtype=bool)
+    core[sums[:, 0]] = sums[:, 1] >= min_samples
+    cores = spark.sparkContext.broadcast(core)
+
+    def forest(batches):
+        core = cores.value
+        root = np.arange(n)
+        for i, near in blocks(batches, shared.value):
+            for row, hit in zip(i, near, strict=True):
+                if core[row]:
+                    join(root, np.nonzero(hit & core)[0])
+        at = np.nonzero(root != np.arange(n))[0]
+        yield at, root[at]
+
+    root = np.arange(n)
+    for a, b in passed(forest):
+        join(root, np.array([a, b]))
+    label = np.full(n, -1)
+    label[core] = np.unique(root[core], return_inverse=True)[1]
+    labels = spark.sparkContext.broadcast(label)
+
+    def border(batches):
+        label = labels.value
+        for i, near in blocks(batches, shared.value):
+            yield i, np.where(near & (label >= 0), label, n).min(axis=1)
+
+    touched = passed(border)
+    first = np.full(n, n)
+    first[touched[:, 0]] = touched[:, 1]
+    label = np.where(core, label, np.where(first < n, first, -1))
+    return spark.createDataFrame([(r.id, int(c), bool(k)) for r, c, k in zip(rows, label, core, strict=True)], f"{id_col} {dict(df.dtypes)[id_col]}, cluster_id int, is_core boolean")
+
+
+def join(root: np.ndarray, members: np.ndarray) -> None:
+    """Makes the classes of the members one; ``root`` holds the least member of each row's class."""
+    olds = np.unique(root[members])
+    if len(olds) > 1:
+        root[np.isin(root, olds)] = olds[0]
+
+
+def merge_tree(x: np.ndarray, k: int, linkage: str, metric: str = "euclidean") -> np.ndarray:
+    """Labels of k clusters by merging the closest, by Lance and Williams' update; ``linkage`` is ward, average or complete.
+
+    Chains of nearest neighbours find the merges in time quadratic in the rows; the
+    lowest come first.
+    """
     n = len(x)
-    gap = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if n <= 500 else np.maximum((x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)[None, :], 0)
-    gap = gap if linkage == "ward" else np.sqrt(gap)
+    if metric == "cosine":
+        x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    gap = np.empty((n, n))
+    for at in range(0, n, BLOCK):
+        part = squared(x[at : at + BLOCK], x)
+        gap[at : at + BLOCK] = part / 2 if metric == "cosine" else part if linkage == "ward" else np.sqrt(part)
     np.fill_diagonal(gap, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > max(k, 1):
-        i, j = sorted(np.unravel_index(int(gap.argmin()), gap.shape))
+    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    merges, chain = [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        row = gap[chain[-1]]
+        near = int(row.argmin())
+        if len(chain) < 2 or row[near] < row[chain[-2]]:
+            chain.append(near)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        height = gap[i, j]
         if linkage == "ward":
-            new = ((size[i] + size) * gap[i] + (size[j] + size) * gap[j] - size * gap[i, j]) / (size[i] + size[j] + size)
+            new = ((size[i] + size) * gap[i] + (size[j] + size) * gap[j] - size * height) / (size[i] + size[j] + size)
         elif linkage == "average":
             new = (size[i] * gap[i] + size[j] * gap[j]) / (size[i] + size[j])
         else:
@@ -87,18 +143,21 @@ def merge_tree(x: np.ndarray, k: int, linkage: str) -> np.ndarray:
         new[[i, j]] = np.inf
         gap[i], gap[:, i], gap[j], gap[:, j] = new, new, np.inf, np.inf
         size[i] += size[j]
-        label[label == label[j]] = label[i]
-        label[label == j] = i
-        alive -= 1
+        alive[j] = False
+        merges.append((height, i, j))
+    label = np.arange(n)
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(n - max(k, 1), 0)]:
+        a, b = sorted((label[i], label[j]))
+        label[label == b] = a
     return np.unique(label, return_inverse=True)[1]
 
 
-def agglomerative_labels(df: DataFrame, id_col: str, column: str, k: int = 5, linkage: str = "ward", most: int = TREE_ROWS) -> DataFrame:
+def agglomerative_labels(df: DataFrame, id_col: str, column: str, k: int = 5, linkage: str = "ward", metric: str = "euclidean", most: int = TREE_ROWS) -> DataFrame:
     """(id, cluster_id) of at most ``most`` rows, as one group: the method needs all pairs."""
     rows = hash_order(df.select(id_col, F.col(column).cast("array<double>").alias("v")), id_col, most)
 
     def fit(pdf):
         pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        return pdf[[id_col]].assign(cluster_id=merge_tree(np.array(pdf.v.tolist()), k, linkage).astype("int32"))
+        return pdf[[id_col]].assign(cluster_id=merge_tree(np.array(pdf.v.tolist()), k, linkage, metric).astype("int32"))
 
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(fit, f"{id_col} {dict(df.dtypes)[id_col]}, cluster_id int")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal
-from tessera.operators.cluster import hash_order
+from tessera.operators.cluster import BLOCK, squared
 
 
 def gram(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -73,21 +73,25 @@ def layout(x: np.ndarray, neighbours: int = 15, rounds: int = 120, seed: int = 4
     y = 10 * start / max(np.abs(start).max(), 1e-9)
     if k < 1:
         return y
-    gap = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)[None, :], 0))
-    np.fill_diagonal(gap, np.inf)
-    near = np.argsort(gap, axis=1)[:, :k]
-    d = np.take_along_axis(gap, near, axis=1)
+    near, d = np.empty((n, k), dtype=np.int64), np.empty((n, k))
+    for at in range(0, n, BLOCK):
+        gap = np.sqrt(squared(x[at : at + BLOCK], x))
+        gap[np.arange(len(gap)), at + np.arange(len(gap))] = np.inf
+        part = np.argpartition(gap, k - 1, axis=1)[:, :k]
+        part = np.take_along_axis(part, np.take_along_axis(gap, part, axis=1).argsort(axis=1), axis=1)
+        near[at : at + BLOCK], d[at : at + BLOCK] = part, np.take_along_axis(gap, part, axis=1)
     rho, goal = d[:, :1], math.log2(max(k, 2))
     low, high = np.full((n, 1), 1e-4), np.full((n, 1), 1e3)
     for _ in range(40):
         mid = np.sqrt(low * high)
         much = np.exp(-np.maximum(d - rho, 0) / mid).sum(axis=1, keepdims=True) > goal
         high, low = np.where(much, mid, high), np.where(much, low, mid)
-    w = np.zeros((n, n))
-    np.put_along_axis(w, near, np.exp(-np.maximum(d - rho, 0) / np.sqrt(low * high)), axis=1)
-    w = w + w.T - w * w.T
-    i, j = np.nonzero(np.triu(w))
-    p, pick = w[i, j], np.random.default_rng(seed)
+    w = np.exp(-np.maximum(d - rho, 0) / np.sqrt(low * high)).ravel()
+    one, two = np.repeat(np.arange(n), k), near.ravel()
+    pairs, at = np.unique(np.minimum(one, two) * n + np.maximum(one, two), return_inverse=True)
+    total, square = np.bincount(at, w), np.bincount(at, w * w)  # a + b and a² + b² of the two directions
+    i, j = pairs // n, pairs % n
+    p, pick = total - (total * total - square) / 2, np.random.default_rng(seed)
     a, b = 1.93, 0.79
     for step in range(rounds):
         rate = 1 - step / rounds
@@ -107,9 +111,9 @@ def layout(x: np.ndarray, neighbours: int = 15, rounds: int = 120, seed: int = 4
     return y
 
 
-def umap_layout(df: DataFrame, id_col: str, column: str, neighbours: int = 15, most: int = 5_000) -> DataFrame:
-    """(id, umap_x, umap_y) of at most ``most`` rows, as one group: the layout moves all points together."""
-    rows = hash_order(df.select(id_col, F.col(column).cast("array<double>").alias("v")), id_col, most)
+def umap_layout(df: DataFrame, id_col: str, column: str, neighbours: int = 15) -> DataFrame:
+    """(id, umap_x, umap_y) of every row, as one group: the layout moves all points together."""
+    rows = df.select(id_col, F.col(column).cast("array<double>").alias("v"))
 
     def fit(pdf):
         pdf = pdf.sort_values(id_col).reset_index(drop=True)

@@ -61,14 +61,14 @@ def silhouette_sample(spark, d):
 
 
 def kmeans_labels(spark, d):
-    return C.kmeans_labels(vectors(spark, d), "vec_id", "v", starts=2)
+    return C.kmeans_labels(vectors(spark, d), "vec_id", "v")
 
 
 def kmeans_quality(spark, d):
     """Cost, sizes and silhouette of a fit, for the dashboard's first row."""
     rows = vectors(spark, d)
-    found = C.kmeans_labels(rows, "vec_id", "v", starts=1).join(rows.select("vec_id", "v"), "vec_id")
-    scores = E.silhouette(found, "vec_id", "v", "cluster_id", most=1_000)
+    found = C.kmeans_labels(rows, "vec_id", "v").join(rows.select("vec_id", "v"), "vec_id")
+    scores = E.silhouette(found, "vec_id", "v", "cluster_id")
     sizes = found.groupBy("cluster_id").agg(F.count("*").alias("size"))
     return sizes.crossJoin(scores.agg(F.avg("silhouette").alias("silhouette")))
 
@@ -86,15 +86,15 @@ def truncated_svd(spark, d):
 
 
 def dbscan_labels(spark, d):
-    return C.dbscan_labels(vectors(spark, d), "vec_id", "v", 0.9, 5, most=3_000)
+    return C.dbscan_labels(vectors(spark, d), "vec_id", "v", 0.9, 5)
 
 
 def agglomerative_labels(spark, d):
-    return C.agglomerative_labels(vectors(spark, d), "vec_id", "v", 5, "average", most=500)
+    return C.agglomerative_labels(vectors(spark, d), "vec_id", "v", 5, "average")
 
 
 def umap_layout(spark, d):
-    return D.umap_layout(vectors(spark, d), "vec_id", "v", most=500)
+    return D.umap_layout(vectors(spark, d), "vec_id", "v")
 
 
 def embed_hash(spark, d):
@@ -112,9 +112,14 @@ def forecast_mape(spark, d):
 
 
 def clustering_grid(spark, d):
-    """A small grid over all methods: what each fit found, without its running time."""
-    grids = {"kmeans": G.grid(k=[2, 5], starts=[1]), "dbscan": G.grid(eps=[0.5, 0.9], min_samples=[5]), "agglomerative": G.grid(k=[5], linkage=["ward", "complete"])}
-    return G.fits(vectors(spark, d), "vec_id", "v", grids, most=300).drop("runtime_seconds")
+    """The 76 fits of the grids over all methods: what each found, without its running time."""
+    k = [5, 8, 10, 12, 15, 20, 25, 30]
+    grids = {
+        "kmeans": G.grid(k=k, starts=[10]),
+        "dbscan": G.grid(eps=[0.2, 0.3, 0.4, 0.5, 0.7, 0.9, 1.1], min_samples=[5, 10, 20, 40]),
+        "agglomerative": G.grid(k=k, linkage=["ward"], metric=["euclidean"]) + G.grid(k=k, linkage=["average", "complete"], metric=["euclidean", "cosine"]),
+    }
+    return G.fits(vectors(spark, d), "vec_id", "v", grids).drop("runtime_seconds")
 
 
 def reduction_table(spark, d):

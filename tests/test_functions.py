@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import papers as P
 from tessera.functions import text as X
 from tessera.operators import evaluate, rules, tfidf, trends
-from tessera.operators.cluster import merge_tree
+from tessera.plans import registry
+from tessera.operators.cluster import dbscan_labels, merge_tree
 from tessera.operators.forecast import forecast
 from tessera.operators.reduce import components, layout
 
@@ -108,3 +109,18 @@ def test_merge_tree_and_layout_keep_clusters_apart():
         label = merge_tree(x, 3, linkage)
         assert len(set(label)) == 3 and all(len(set(label[i : i + 20])) == 1 for i in (0, 20, 40))
     assert np.isfinite(layout(x, 10)).all()
+
+
+def test_clusterings_return_every_row(spark, tmp_path):
+    pick = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in pick.normal(3 * (i % 3), 1.0, 8)], i % 3) for i in range(3_100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("dbscan_labels", "agglomerative_labels", "umap_layout"):
+        assert {r.vec_id for r in registry.QUERIES[name](spark, str(tmp_path)).select("vec_id").collect()} == set(range(3_100))
+
+
+def test_dbscan_numbers_clusters_and_borders(spark):
+    rows = [(i, [float(x)]) for i, x in enumerate([0, 0.1, 0.2, 1.1, 5, 5.1, 5.2, 9])]
+    found = {r.id: (r.cluster_id, r.is_core) for r in dbscan_labels(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.95, 3).collect()}
+    assert found[0][0] == found[1][0] == found[2][0] == found[3][0] != found[4][0] == found[5][0] == found[6][0]
+    assert found[7] == (-1, False) and found[3] == (0 if found[0][0] == 0 else 1, False) and {found[0][0], found[4][0]} == {0, 1}
