@@ -201,7 +201,7 @@ QUERIES = {
     )
 }
 
-BASKETS = """l AS (SELECT l_orderkey, l_returnflag, p_brand, 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 10),
+BASKETS = """l AS (SELECT l_orderkey, l_returnflag, p_brand, 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
   g AS (SELECT l_orderkey AS txn, min(l_returnflag) AS c, list_sort(list(DISTINCT p_brand)) AS k, list_sort(list(DISTINCT s)) AS a FROM l GROUP BY 1),
   b AS (SELECT txn, ['cluster:' || c] || list_transform(k, lambda x: 'keyword:' || x) || list_transform(a[1:5], lambda x: 'author:' || x) AS items FROM g)"""
 PAIRS = f"""WITH {BASKETS}, big AS (SELECT * FROM b WHERE len(items) >= 2), i AS (SELECT txn, unnest(items) AS item FROM big), t AS (SELECT count(*) AS n FROM big),
