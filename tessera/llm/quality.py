@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.toxicity import in_fold, labelled
 
+#: Most labelled rows that are learned from.
+EXAMPLES = 20_000
 #: Preference pairs for each document of the rarer label, and the weight of the penalty on squares.
 PAIRS, PENALTY, STEPS = 24, 1e-3, 60
 
@@ -119,7 +121,7 @@ def rank(x: np.ndarray, label: np.ndarray) -> Ranking:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> Ranking:
-    rows = feature_rows(labelled(docs, labels, label_col, id_col, text_col, learn)).orderBy("id").collect()  # at most EXAMPLES rows of numbers
+    rows = feature_rows(labelled(docs, labels, label_col, id_col, text_col, learn, EXAMPLES)).orderBy("id").collect()  # at most EXAMPLES rows of numbers
     width = len(features(None))
     return rank(np.array([r.x for r in rows]).reshape(-1, width), np.array([r.label for r in rows]))
 

@@ -1,37 +1,42 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are the words of the lower-cased text (runs of letters and digits) and the
-first four and five characters of longer words; a term that is frequent in a text
-counts once more under a mark for it.  The vocabulary holds the terms that go with
-label 1 on the training examples (likelihood ratio); a document's vector has 1 + ln(tf) times an inverse document frequency that is counted over all
-documents, and unit length.  The examples' postings lie in an inverted index cut
-into blocks with the largest weight of each: a search scores whole documents only
-where the blocks' bounds allow a place among the k best, so its result is exact.  The k
-neighbours vote with their cosines, shrunk towards the rate of label 1 among the examples:
-
-    score = (sum of cosine * label + SHRINK * base) / (sum of cosine + SHRINK)
-
-and a text that shares no term with any example gets the rate among examples
-without terms.  The neighbours are the evidence.
-
-Labels are learned from at most ``EXAMPLES`` rows, chosen by a hash of their id; the
-statistics over documents and the scores cover all rows.
+Terms are the words of the lower-cased text (runs of letters and digits) and, marked
+by ^, the first four and five characters of longer words.  The vocabulary is every
+term of the labelled examples that at least two documents hold and at most one in
+``MAX_DF`` (or ``MAX_DF`` of them, in a small corpus); no label chooses among them.  A text's vector has
+tf * ln((n + 2) / (df + 1)) for each of its terms that is in the vocabulary, with
+document frequencies counted over all n documents, and unit length.
+
+The examples lie in blocks of ``BLOCK``.  Their postings form an inverted index in which
+the terms with long lists (``COMMON``) carry the largest weight of every block.  A search
+adds up the rare terms' postings exactly and bounds what the common terms can add to a
+block; blocks whose bound cannot reach the k best are skipped and the others are
+completed, all in double precision.  So its result is exact.
+
+The ``NEIGHBOURS`` nearest vote with their cosines; the share of the votes for label 1 is
+turned into a probability by a logistic curve that is fitted to the examples' own
+shares, each found without the example itself.  The neighbours are the evidence.  A
+text that shares no term with any example gets the rate among examples without terms.
+
+Labels are learned from at most ``EXAMPLES`` rows, chosen by a hash of their id, with
+at most ``CHARS`` characters of text in all; the statistics over documents and the scores cover all rows.
 
 Defined results
 * A null or empty text has no terms.  A null label, or a label without a document, teaches nothing.
 * Of labels that repeat an id the largest counts; rows that repeat a document each get their row.
-* Without any usable label every score is 0.  An empty table gives an empty result with the same schema.
-* Equal cosines prefer the example with the smaller hash, then the smaller id.
-* Other columns, whatever their names, do not clash.
+* Without any usable label every score is 0.  If all labels are equal, every score is (ones + 0.5) / (n + 1).
+  An empty table gives an empty result with the same schema.
+* Cosines are compared after rounding to 12 places; equal ones prefer the example with the smaller id.
+* Very long texts are read whole, and other columns, whatever their names, do not clash.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +45,17 @@ from pyspark.sql import functions as F
 
 from tessera.plans.staging import staged
 
-#: Most labelled rows that are learned from.
-EXAMPLES = 20_000
-#: Most terms in the vocabulary, and the least likelihood ratio (G²) of one.
-TERMS, LEAST_G2 = 4_096, 15.0
-NEIGHBOURS, SHRINK = 15, 0.25
-#: Postings in a block.
-BLOCK = 64
-#: Words whose terms a worker remembers.
-MEMO = 400_000
+#: Most labelled rows that are learned from, and most characters of their texts.
+EXAMPLES, CHARS = 3_000, 32_000_000
+#: A term in more than this part of the documents says too little.
+MAX_DF = 16
+NEIGHBOURS = 30
+#: Examples in a block, the share of the examples from which on a term is common, and the most common terms held by blocks.
+BLOCK, COMMON, MOST_COMMON = 64, 1 / 64, 128
+#: Keeps the logarithm of a vote's odds finite.
+SOFT = 0.02
+#: Texts that are scored together, and words whose terms a worker remembers.
+BATCH, MEMO = 128, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -57,130 +64,208 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *["^" + word[:n] for n in (4, 5) if n < len(word)])
 
 
-def marks(term: str, n: int, length: int) -> list[str]:
-    """``term``, and marked by + and ++ if it is frequent: twice and 4 in 1000 words, thrice and 8 in 1000."""
-    found = [term]
-    if n >= 2 and 1000 * n >= 4 * length:
-        found.append(term + "+")
-        if n >= 3 and 1000 * n >= 8 * length:
-            found.append(term + "++")
-    return found
-
-
-def base_counts(text: str | None, wanted=None, memo: dict | None = None) -> tuple[Counter, int]:
-    """(unmarked terms' counts, number of words); ``wanted`` holds the terms to count, all if None."""
-    words = WORD.findall(text.lower()) if text else []
-    found: Counter[str] = Counter()
-    for word, n in Counter(words).items():
-        terms = None if memo is None else memo.get(word)
-        if terms is None:
-            terms = terms_of(word) if wanted is None else tuple(t for t in terms_of(word) if t in wanted)
-            if memo is not None:
-                memo[word] = terms
-        for t in terms:
-            found[t] += n
-    return found, len(words)
+class Counting:
+    """Counts the vocabulary's terms in texts.
 
+    Texts are cut at white space first.  What stands between is remembered with the
+    terms of its word, in a table of three columns; the few pieces with several words are cut each time.
+    """
 
-class Counting:
-    """Counts the vocabulary's terms in texts, remembering the terms of words."""
+    BLANK, SEVERAL = 0, -1
 
     def __init__(self, terms: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
-        self.wanted = {t.rstrip("+") for t in terms}
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
-        """(term numbers, counts), by term number."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        counts, length = base_counts(text, self.wanted, self.memo)
-        found = sorted((self.number[m], n) for t, n in counts.items() for m in marks(t, n, length) if m in self.number)
-        return [i for i, _ in found], [n for _, n in found]
+        self.forget(MEMO)
+
+    def forget(self, size: int) -> None:
+        self.row: dict[str, int] = {}
+        self.table = np.full((size, 3), -1, dtype=np.int64)
+        self.used = 1  # the first row is blank
+
+    def learn(self, piece: str) -> int:
+        words = WORD.findall(piece)
+        if len(words) > 1:
+            row = self.SEVERAL
+        elif not words:
+            row = self.BLANK
+        else:
+            row, self.used = self.used, self.used + 1
+            for column, term in enumerate(terms_of(words[0])):
+                self.table[row, column] = self.number.get(term, -1)
+        self.row[piece] = row
+        return row
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers in order, counts)."""
+        counted = Counter(text.lower().split() if text else ())
+        if self.used + len(counted) > len(self.table):
+            self.forget(max(MEMO, len(counted) + 1))
+        rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
+        if self.SEVERAL in rows:
+            for piece, row in zip(list(counted), rows, strict=True):
+                if row == self.SEVERAL:
+                    n = counted.pop(piece)
+                    for word in WORD.findall(piece):
+                        counted[word] += n
+            if self.used + len(counted) > len(self.table):
+                self.forget(max(MEMO, len(counted) + 1))
+            rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
+        ids = self.table[np.array(rows, dtype=np.int64)]
+        known = ids >= 0
+        counts = np.broadcast_to(np.fromiter(counted.values(), dtype=np.float64, count=len(counted))[:, None], ids.shape)[known]
+        found, place = np.unique(ids[known], return_inverse=True)
+        return found, np.bincount(place, weights=counts, minlength=len(found))
 
 
 @dataclass
 class Index:
-    """Examples' unit vectors as postings in blocks: documents, weights, and the largest weight of each block."""
-
-    docs: list[np.ndarray]
-    weights: list[np.ndarray]
-    tops: list[np.ndarray]
-    labels: np.ndarray
-    ids: np.ndarray
-
-    @classmethod
-    def build(cls, vectors: list[dict[int, float]], labels: list[int], ids: list[int], terms: int) -> Index:
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for doc, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings[term].append((doc, weight))
-        docs = [np.array([d for d, _ in p], dtype=np.int64) for p in postings]
-        weights = [np.array([w for _, w in p], dtype=np.float64) for p in postings]
-        tops = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) if len(w) else w for w in weights]
-        return cls(docs, weights, tops, np.array(labels, dtype=np.float64), np.array(ids, dtype=np.int64))
-
-    def search(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), exactly; ties to the smaller example.  Only examples that share a term.
-
-        Term by term in the order of their largest contribution.  What the terms
-        still to come can add bounds every candidate: once k are at least as good
-        as an unseen example could become, blocks are skipped whose largest
-        weight cannot lift an example into the k best.
-        """
-        order = sorted((t for t in vector if len(self.docs[t])), key=lambda t: (-vector[t] * self.tops[t].max(), t))
-        rest = [0.0] * (len(order) + 1)
-        for i in range(len(order) - 1, -1, -1):
-            rest[i] = rest[i + 1] + vector[order[i]] * float(self.tops[order[i]].max())
-        scores = np.zeros(len(self.labels))
-        seen = np.zeros(len(self.labels), dtype=bool)
-        least = 0.0
-        for i, term in enumerate(order):
-            docs, weights, q = self.docs[term], self.weights[term], vector[term]
-            if least > 0 and rest[i] < least * (1 - 1e-12):
-                # no unseen example can enter: only those seen already are completed, block by block
-                alive = seen & (scores + rest[i] >= least * (1 - 1e-12))
-                if alive.sum() <= k:
-                    alive_docs = np.nonzero(alive)[0]
-                    at = np.searchsorted(docs, alive_docs)
-                    hit = at < len(docs)
-                    hit[hit] = docs[at[hit]] == alive_docs[hit]
-                    scores[alive_docs[hit]] += q * weights[at[hit]]
-                else:
-                    best = np.maximum.reduceat(np.where(alive[docs], scores[docs], -1.0), np.arange(0, len(docs), BLOCK))
-                    use = np.repeat(best + q * self.tops[term] + rest[i + 1] >= least * (1 - 1e-12), BLOCK)[: len(docs)]
-                    scores[docs[use]] += q * weights[use]
-            else:
-                scores[docs] += q * weights
-                seen[docs] = True
-            if (at := np.count_nonzero(seen)) >= k:
-                least = float(np.partition(scores[seen], at - k)[at - k])
-        found = np.nonzero(seen)[0]
-        return [(float(scores[d]), int(d)) for d in heapq.nsmallest(k, found.tolist(), key=lambda d: (-scores[d], d))]
+    """Unit vectors of the examples by rows, and what a search needs of them by terms and by blocks."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    size: int
+
+    @cached_property
+    def held(self) -> np.ndarray:
+        """Examples that hold each term."""
+        return np.bincount(self.terms, minlength=self.size)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """Examples by the common term they weigh most, so that blocks hold examples that are alike."""
+        rows = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        heavy = np.where(self.held[self.terms] >= COMMON * self.n, self.weights, 0.0)
+        line = np.lexsort((self.terms, -heavy, rows))
+        first = np.full(self.n, -1)
+        filled = np.diff(self.starts) > 0
+        first[filled] = self.terms[line[self.starts[:-1][filled]]]
+        return np.lexsort((np.arange(self.n), first))
+
+    @property
+    def n(self) -> int:
+        return len(self.starts) - 1
+
+    @cached_property
+    def postings(self) -> tuple:
+        """(place of each common term or -1, blocks x common terms x BLOCK, largest weights, starts, places and weights of the rare terms)."""
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.order] = np.arange(self.n)
+        rows = place[np.repeat(np.arange(self.n), np.diff(self.starts))]
+        by_size = np.argsort(-self.held, kind="stable")[:MOST_COMMON]
+        shared = by_size[self.held[by_size] >= max(2, COMMON * self.n)]
+        common = np.full(self.size, -1, dtype=np.int64)
+        common[shared] = np.arange(len(shared))
+        blocks = -(-self.n // BLOCK)
+        dense = np.zeros((blocks, len(shared), BLOCK))
+        is_common = common[self.terms] >= 0
+        dense[rows[is_common] // BLOCK, common[self.terms[is_common]], rows[is_common] % BLOCK] = self.weights[is_common]
+        rare = np.nonzero(~is_common)[0]
+        rare = rare[np.lexsort((rows[rare], self.terms[rare]))]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=self.size))])
+        return common, dense, dense.max(axis=2), starts, rows[rare], self.weights[rare]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights of unit length) the k largest (cosine, example), exactly; only examples that share a term."""
+        if not self.n:
+            return [[] for _ in queries]
+        common, dense, tops, starts, places, weights = self.postings
+        blocks = len(dense)
+        scores = np.zeros((len(queries), blocks * BLOCK))
+        asked = np.zeros((len(queries), dense.shape[1]))
+        for i, (terms, w) in enumerate(queries):
+            at = common[terms]
+            asked[i, at[at >= 0]] = w[at >= 0]
+            terms, w = terms[at < 0], w[at < 0]
+            first, n = starts[terms], starts[terms + 1] - starts[terms]
+            upto = np.cumsum(n)
+            if len(n) and upto[-1]:
+                pick = np.repeat(first - upto + n, n) + np.arange(upto[-1])
+                scores[i] = np.bincount(places[pick], weights=weights[pick] * np.repeat(w, n), minlength=blocks * BLOCK)
+        # what a block's best example can reach at most, and what the k-th best reaches at least; float rounding is far below the slack
+        bound = scores.reshape(len(queries), blocks, BLOCK).max(axis=2) + asked @ tops.T + 1e-9
+        need = bound >= kth(scores, k)[:, None]
+        for b in np.nonzero(need.any(axis=0))[0].tolist():
+            rows = np.nonzero(need[:, b])[0]
+            scores[rows, b * BLOCK : (b + 1) * BLOCK] += asked[rows] @ dense[b]
+        scores *= np.repeat(need, BLOCK, axis=1)
+        scores.round(12, out=scores)
+        near = scores >= np.maximum(kth(scores, k), 1e-12)[:, None]
+        out = []
+        for row, mask in zip(scores, near, strict=True):
+            at = np.nonzero(mask)[0]
+            out.append(sorted(zip(row[at].tolist(), self.order[at].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k])
+        return out
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest score of each row, 0 if there are fewer."""
+    width = scores.shape[1]
+    return np.partition(scores, width - k, axis=1)[:, width - k] if width >= k else np.zeros(len(scores), dtype=scores.dtype)
 
 
 @dataclass
 class Model:
-    """Vocabulary, weights and index of the labelled examples."""
+    """Weights and index of the labelled examples, and the curve from votes to scores."""
 
-    terms: list[str]
     idf: np.ndarray
     index: Index
-    base: float
+    labels: np.ndarray
+    ids: np.ndarray
     bare: float
+    curve: tuple[float, float] = (0.0, 1.0)
+    flat: float | None = None
+    place: dict[int, int] = field(default_factory=dict)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return unit(terms, counts, self.idf)
+
+    def votes(self, queries: list, own: list[int | None] | None = None) -> list[tuple[float | None, list[int]]]:
+        """(share of the votes for label 1, examples, nearest first) of each query; ``own`` names examples that do not vote."""
+        found = self.index.search(queries, NEIGHBOURS + (own is not None))
+        out = []
+        for i, near in enumerate(found):
+            if own is not None:
+                near = [x for x in near if x[1] != own[i]][:NEIGHBOURS]
+            all_votes = sum(c for c, _ in near)
+            out.append((sum(c * self.labels[e] for c, e in near) / all_votes if near else None, [e for _, e in near]))
+        return out
+
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """(score, ids of the evidence) of each text's counts."""
+        out = []
+        for share, near in self.votes([self.vector(*c) for c in counted]):
+            if self.flat is not None:
+                score = self.flat
+            elif share is None:
+                score = self.bare
+            else:
+                score = 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * odds(share))))
+            out.append((score, self.ids[near].tolist()))
+        return out
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = counts * idf[terms]
+    length = math.sqrt(math.fsum(weights * weights))
+    return terms, weights / length if length else weights
+
 
-    def vector(self, ids: list[int], counts: list[int]) -> dict[int, float]:
-        weights = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in zip(ids, counts, strict=True)}
-        length = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / length for t, w in weights.items()}
+def odds(share: float) -> float:
+    return math.log((share + SOFT) / (1 - share + SOFT))
 
-    def score(self, ids: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        """(score, examples' ids, nearest first)."""
-        near = self.index.search(self.vector(ids, counts), NEIGHBOURS) if ids else []
-        if not near:
-            return self.bare, []
-        votes = sum(c * self.index.labels[d] for c, d in near)
-        return float((votes + SHRINK * self.base) / (sum(c for c, _ in near) + SHRINK)), [int(self.index.ids[d]) for _, d in near]
+
+def fit_curve(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Logistic curve of the label over the votes' log odds, by Newton steps with a slight penalty."""
+    x = np.stack([np.ones(len(shares)), [odds(s) for s in shares]], axis=1)
+    w = np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (labels - p) - 1e-3 * (w - [0.0, 1.0]))
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
 
 
 def in_fold(id_col: Column, parts: int, part: int) -> Column:
@@ -188,121 +273,119 @@ def in_fold(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that go with label 1, from staged rows (id, label, t), by likelihood ratio."""
-
-    def emit(batches):
-        for b in batches:
-            for text, label in zip(b.column("t"), b.column("label"), strict=True):
-                counts, length = base_counts(text.as_py())
-                if terms := sorted(m for t, n in counts.items() for m in marks(t, n, length)):
-                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([label.as_py()] * len(terms), pa.int32())], names=["term", "label"])
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, learn: Column, most: int) -> DataFrame:
+    """Staged (id, label, t): at most ``most`` labelled documents, those whose ids hash lowest."""
+    rows = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
+    rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(learn)
+    rows = rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    found = texts.join(F.broadcast(rows), "id")  # at most ``most`` rows of 12 bytes
+    return staged(found.groupBy("id").agg(F.max("label").alias("label"), F.min("t").alias("t")))
 
-    ones, n = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    if not 0 < ones < n:
-        return []
-    counts = examples.mapInArrow(emit, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("m"))
-    counts = counts.where("m >= 2")
-    a, m = F.col("a").cast("double"), F.col("m").cast("double")
 
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+def bounded(examples: DataFrame) -> DataFrame:
+    """The examples whose ids hash lowest, with at most ``CHARS`` characters in all."""
+    sizes = examples.select("id", F.coalesce(F.char_length("t"), F.lit(0)).alias("n"), F.xxhash64("id").alias("h")).orderBy("h", "id").collect()  # at most EXAMPLES rows of numbers
+    total, kept = 0, []
+    for r in sizes:
+        if total + r.n <= CHARS:
+            total += r.n
+            kept.append(r.id)
+    return examples if len(kept) == len(sizes) else examples.where(F.col("id").isin(kept))
 
-    rate = ones / n
-    g2 = 2 * (part(a, m * rate) + part(m - a, m * (1 - rate)) + part(ones - a, (n - m) * rate) + part((n - m) - (ones - a), (n - m) * (1 - rate)))
-    best = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / m >= min(0.5, 2 * rate))).orderBy(F.desc("g2"), "term").limit(TERMS)
-    return [r.term for r in best.select("term").collect()]
 
+def document_frequencies(docs: DataFrame, shared, size: int, text_col: str) -> tuple[int, np.ndarray]:
+    """(documents, how many of them hold each term of the vocabulary), counted in each task before the shuffle."""
 
-def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts) of every row."""
     def count(batches):
-        counting = Counting(terms)
+        counting, found, n = Counting(shared.value), np.zeros(size + 1, dtype=np.int64), 0
         for b in batches:
-            pairs = [counting(t.as_py()) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32()))], names=["id", "terms", "counts"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "id long, terms array<int>, counts array<int>")
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, learn: Column) -> DataFrame:
-    """Staged (id, label, t): at most ``EXAMPLES`` labelled documents, those whose ids hash lowest."""
-    rows = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
-    rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(learn)
-    rows = rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    found = texts.join(F.broadcast(rows), "id")  # at most EXAMPLES rows of 12 bytes
-    return staged(found.groupBy("id").agg(F.max("label").alias("label"), F.min("t").alias("t")))
+            n += b.num_rows
+            for t in b.column("t"):
+                found[counting(t.as_py())[0]] += 1
+        found[size] = n
+        seen = np.nonzero(found)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(found[seen])], names=["term", "n"])
+
+    parts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
+    df = np.zeros(size + 1)
+    df[np.asarray(parts.column("term"))] = np.asarray(parts.column("n"))
+    return int(df[size]), df[:size]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text"):
+    """(broadcast vocabulary, broadcast model); both are bounded by EXAMPLES and CHARS."""
+    context = docs.sparkSession.sparkContext
+    examples = bounded(labelled(docs, labels, label_col, id_col, text_col, learn, EXAMPLES))
+    rows = sorted(zip(*[c.to_pylist() for c in examples.select("id", "label", "t").toArrow().columns], strict=True))
+    terms = sorted({t for w in {w for _, _, text in rows if text for w in WORD.findall(text.lower())} for t in terms_of(w)})
+    vocabulary = context.broadcast(terms)
+    n, df = document_frequencies(docs, vocabulary, len(terms), text_col)
+    kept = np.nonzero((df >= 2) & (df <= max(n / MAX_DF, MAX_DF)))[0]
+    terms, df = [terms[i] for i in kept.tolist()], df[kept]
+    vocabulary.destroy()
+    vocabulary = context.broadcast(terms)
+    idf = np.log((n + 2) / (df + 1))
+    counting = Counting(terms)
+    vectors = [unit(*counting(text), idf) for _, _, text in rows]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+    flat_terms = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+    index = Index(starts, flat_terms, np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0), len(terms))
+    own = np.array([label for _, label, _ in rows], dtype=np.float64)
+    ones = float((own == 1).sum())
+    alone = own[np.diff(starts) == 0] if len(own) else own
+    model = Model(idf, index, (own == 1).astype(np.float64), np.array([i for i, _, _ in rows], dtype=np.int64), ((alone == 1).sum() + ones / max(1, len(own))) / (len(alone) + 1) if len(own) else 0.0)
+    if not 0 < ones < len(own):
+        model.flat = (ones + 0.5) / (len(own) + 1) if len(own) else 0.0
+        return vocabulary, context.broadcast(model)
+    model.place = {int(i): e for e, i in enumerate(model.ids)}
+    first = context.broadcast(model)
 
+    def vote(batches):
+        for counted, b in counts_of(batches, Counting(vocabulary.value), 1):
+            found = first.value.votes([first.value.vector(*c) for c in counted], [first.value.place[i] for i in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64())], names=["id", "share"])
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """(the model, staged (id, terms, counts) of every row)."""
-    examples = labelled(docs, labels, label_col, id_col, text_col, learn)
-    terms = vocabulary(examples)
-    vectors = staged(term_counts(docs, terms, id_col, text_col))
-    n = vectors.count()
-    df = np.zeros(len(terms))
-    for term, seen in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most TERMS rows
-        df[term] = seen
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = term_counts(examples.select("id", "t", "label"), terms, "id", "t")
-    rows = rows.join(F.broadcast(examples.select("id", "label")), "id").orderBy(F.xxhash64("id"), "id").collect()  # at most EXAMPLES rows
-    base = sum(r.label for r in rows) / len(rows) if rows else 0.0
-    bare = [r.label for r in rows if not r.terms]
-    model = Model(terms, idf, None, base, (sum(bare) + SHRINK * base) / (len(bare) + SHRINK))
-    model.index = Index.build([model.vector(r.terms, r.counts) for r in rows], [r.label for r in rows], [r.id for r in rows], len(terms))
-    return model, vectors
-
-
-def scored(vectors: DataFrame, model: Model) -> DataFrame:
-    """(id, score, evidence) of every row of (id, terms, counts)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    shares = {r.id: r.share for r in examples.select("id", "t").repartition(16, "id").mapInArrow(vote, "id long, share double").collect()}  # at most EXAMPLES rows of numbers
+    known = [(shares[i], label == 1) for i, label, _ in rows if shares[i] is not None]
+    if known:
+        model.curve = fit_curve(np.array([s for s, _ in known]), np.array([float(x) for _, x in known]))
+    first.destroy()
+    return vocabulary, context.broadcast(model)
 
-    def vote(batches):
-        memo: dict[tuple, tuple[float, list[int]]] = {}
-        for b in batches:
-            found = []
-            for ids, counts in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                key = (tuple(ids), tuple(counts))
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = shared.value.score(ids, counts)
-                found.append(memo[key])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
-    return vectors.mapInArrow(vote, "id long, score double, evidence array<long>")
+def counts_of(batches, counting: Counting, place: int):
+    """(counts of each text, the batch) in slices of at most ``BATCH`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            part = b.slice(at, BATCH)
+            yield [counting(t.as_py()) for t in part.column(place)], part
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence) of every document; labels are learned from ids whose crc32 mod 4 is not 2."""
-    model, vectors = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
-    return scored(vectors, model)
+    vocabulary, model = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
+
+    def score(batches):
+        for counted, b in counts_of(batches, Counting(vocabulary.value), 1):
+            found = model.value.scores(counted)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(score, "id long, score double, evidence array<long>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``.
 
-    Each row is scored in place, so a row is kept or dropped for its own text.
+    Each row is scored in place, so a row is kept or dropped for its own text; a null text is kept unless
+    examples without terms are toxic at that rate.
     """
-    model, _ = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vocabulary, model = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
     place = docs.columns.index(text_col)
 
     def keep(batches):
-        counting = Counting(shared.value.terms)
-        memo: dict[tuple, bool] = {}
-        for b in batches:
-            stay = []
-            for text in b.column(place):
-                ids, counts = counting(text.as_py())
-                key = (tuple(ids), tuple(counts))
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = shared.value.score(ids, counts)[0] < threshold
-                stay.append(memo[key])
-            yield b.filter(pa.array(stay, pa.bool_()))
+        for counted, b in counts_of(batches, Counting(vocabulary.value), place):
+            yield b.filter(pa.array([s < threshold for s, _ in model.value.scores(counted)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
