@@ -227,6 +227,34 @@ def test_url_filter_as_of(spark):
     assert urlfilter.judge(pages, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_equals_brute_force(spark):
+    """Deep and upper-case entries, users with @, addresses, long URLs, extra columns with clashing names."""
+    listed = ["Z.com", "x.com/a/b/c/d", "http://Y.com:80/p//q/", "2.3.4", "[::1]", "com/a", "deep.org/" + "/".join(map(str, range(30))), "u.net.", "/only", ""]
+    entries = spark.createDataFrame([(e, 5 + i, "block" if i % 3 else "allow") for i, e in enumerate(listed)], "pattern string, listed_at int, action string")
+    urls = ["http://z.com/", "http://www.Z.COM./x", "http://x.com/a/b/c/d/e", "http://x.com/a/b/c", "https://y.com/p/q", "http://1.2.3.4/", "http://[::1]:80/x", "ftp://a@b@u.net/", "http://ss@y.com@deep.org/" + "/".join(map(str, range(40))), "http://deep.org/0/1", "http://[", "http://y.com/p/q/" + "r/" * 3000, "http://x.com//a//b/c/d", None, "http://"]
+    rows = [(i, u, t, "x", "y") for i, u in enumerate(urls) for t in (1, 9, 99)]
+    df = spark.createDataFrame(rows, "page_id int, url string, fetched_at int, pattern string, blocked string")
+
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        place = rest[:cut].rsplit("@", 1)[-1]
+        host = place[: place.index("]") + 1] if place.startswith("[") and "]" in place else place.split(":")[0]
+        return host.lower().rstrip("."), [x for x in rest[cut:].split("?")[0].split("#")[0].split("/") if x]
+
+    marks = [(*parts(e if "://" in e else "http://" + e), 5 + i, "block" if i % 3 else "allow") for i, e in enumerate(listed)]
+
+    def verdict(url, t):
+        if url is None or not parts(url)[0]:
+            return None
+        host, path = parts(url)
+        fit = [(len(h), len(p), a) for h, p, at, a in marks if h and at <= t and path[: len(p)] == p and (host == h or host[0] != "[" and not set(host) <= set("0123456789.") and host.endswith("." + h))]
+        return max(fit)[2] if fit else None
+
+    got = {(r.id, r.fetched_at): (r.action, r.blocked) for r in urlfilter.judge(df, entries).collect()}
+    assert got == {(i, t): (verdict(u, t), verdict(u, t) == "block") for i, u, t, _, _ in rows}
+
+
 # sharding
 
 
