@@ -2,21 +2,24 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and
 non-ASCII characters.  Every benchmark item gives its windows of 13 consecutive
-words, or itself if it has fewer.  The windows, as tuples of word numbers, form a
-hash set that executors hold; documents are scanned word by word, and a hit is an
-equal tuple, so every hit is verified.  Words inside any hit are counted, and the
-spans can be cut out or the document dropped.
-
-The hash set is built from at most ``SET_WINDOWS`` windows at once.  A benchmark
-with more is dealt, by whole items, into several sets, each scanned in turn, and
-the hits are merged: the bound on what is broadcast holds at any size.
+words, or itself if it has fewer.  The windows form a hash set that executors hold: one
+64-bit polynomial hash of word numbers for each window, sorted, beside the word numbers
+themselves.  A document's windows of known words are hashed at once and looked up, and a hit
+is verified word by word.  Words inside any hit are counted, and the spans can be cut
+out or the document dropped.
+
+A set holds at most ``SET_PAIRS`` pairs of a window and an item, some 150 bytes each.  A
+benchmark with more is dealt into several sets by a hash of the pair, so one long item or a
+window of many items is dealt too; each set is collected, broadcast, scanned and given back in turn, and the
+documents carry their merged spans and items from one scan to the next in a staged
+table.  So the bound on what the driver and the executors hold is kept at any size.
 
 Defined results
 * A null text has no words: no hits, not contaminated; an item without words has no windows.
 * An item with a null id takes part like any other and is listed as the text "null".
 * Items that repeat an id are one item; rows that repeat a document each get their row.
 * Empty tables give an empty result, or no hits, with the same schema.
-* Other columns, whatever their names, do not clash.
+* Very long texts are read whole; other columns, whatever their names, do not clash.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
+from tessera.plans.staging import staged
+
 WINDOW = 13
-#: Windows in one broadcast set (about 200 bytes each in a worker).
-SET_WINDOWS = 500_000
+#: Pairs of a window and an item in one broadcast set.
+SET_PAIRS = 400_000
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -42,52 +49,103 @@ def words_of(text: str | None) -> list[str]:
 class WindowSet:
     """Windows of some benchmark items, each with the items it comes from."""
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.windows: dict[tuple[int, ...], tuple[str, ...]] = {}
-        self.lengths: list[int] = []
-        self.starts: set[int] = set()
-
-    def add(self, item: str, text: str | None, width: int) -> None:
-        words = words_of(text)
-        ids = [self.ids.setdefault(w, len(self.ids)) for w in words]
-        if not ids:
-            return
-        n = min(width, len(ids))
-        for at in range(len(ids) - n + 1):
-            window = tuple(ids[at : at + n])
-            known = self.windows.get(window, ())
-            if item not in known:
-                self.windows[window] = (*known, item)
-            self.starts.add(window[0])
-        self.lengths = sorted({*self.lengths, n})
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        by_gram: dict[str, set[str]] = {}
+        for gram, item in pairs:
+            by_gram.setdefault(gram, set()).add(item)
+        self.numbers: dict[str, int] = {}
+        sizes: dict[int, list[tuple[list[int], tuple[str, ...]]]] = {}
+        for gram, items in by_gram.items():
+            ids = [self.numbers.setdefault(w, len(self.numbers)) for w in gram.split(" ")]
+            sizes.setdefault(len(ids), []).append((ids, tuple(sorted(items))))
+        #: by length: (sorted hashes, word numbers, items)
+        self.tables = {}
+        for n, rows in sorted(sizes.items()):
+            words = np.array([ids for ids, _ in rows], dtype=np.int64)
+            hashes = polynomial(words.ravel(), np.arange(0, words.size, n), n)
+            order = np.argsort(hashes, kind="stable")
+            self.tables[n] = hashes[order], words[order].astype(np.int32), [rows[i][1] for i in order.tolist()]
 
     def hits(self, words: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
         """(start, end, items) of every occurrence of a window among ``words``."""
-        get = self.ids.get
-        ids = [get(w, -1) for w in words]
-        if not self.lengths or max(ids, default=-1) < 0:
-            return []
+        ids = np.fromiter((self.numbers.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         found = []
-        out = np.concatenate([[0], np.cumsum(np.fromiter((i < 0 for i in ids), dtype=np.int64, count=len(ids)))])
-        for n in self.lengths:
+        if not self.tables or not (ids >= 0).any():
+            return found
+        out = np.concatenate([[0], np.cumsum(ids < 0)])
+        for n, (hashes, rows, items) in self.tables.items():
             if n > len(ids):
                 break
-            for at in np.nonzero(out[n:] == out[:-n])[0].tolist():  # windows of known words only
-                if ids[at] in self.starts and (items := self.windows.get(tuple(ids[at : at + n]))):
-                    found.append((at, at + n, items))
+            starts = np.nonzero(out[n:] == out[:-n])[0]  # windows of known words only
+            if not len(starts):
+                continue
+            own = polynomial(ids, starts, n)
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            for i in np.nonzero(low < high)[0].tolist():
+                at = int(starts[i])
+                for j in range(int(low[i]), int(high[i])):
+                    if (rows[j] == ids[at : at + n]).all():
+                        found.append((at, at + n, items[j]))
         return found
 
 
-def window_sets(bench: DataFrame, id_col: str, text_col: str, width: int) -> list[WindowSet]:
-    """The benchmark's windows in sets of at most ``SET_WINDOWS``, read item by item."""
-    sets = [WindowSet()]
+def polynomial(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash, modulo 2^64, of the ``n`` numbers from each start on."""
+    total = np.zeros(len(starts), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + (ids[starts + k] + 1).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return total
+
+
+def window_pairs(bench: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, int]:
+    """(staged distinct rows (gram, item, part), number of parts of at most about ``SET_PAIRS`` rows)."""
+
+    def cut(batches):
+        for b in batches:
+            for item, text in zip(b.column("i").to_pylist(), b.column("t"), strict=True):
+                words = words_of(text.as_py())
+                n = min(width, len(words))
+                for at in range(0, len(words) - n + 1 if n else 0, 4096):
+                    grams = [" ".join(words[i : i + n]) for i in range(at, min(at + 4096, len(words) - n + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([item] * len(grams), pa.string())], names=["gram", "item"])
+
     rows = bench.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").alias("t"))
-    for row in rows.toLocalIterator():
-        if len(sets[-1].windows) >= SET_WINDOWS:
-            sets.append(WindowSet())
-        sets[-1].add(row.i, row.t, width)
-    return sets
+    pairs = staged(rows.mapInArrow(cut, "gram string, item string").distinct())
+    parts = max(1, -(-pairs.count() // SET_PAIRS))
+    return pairs.withColumn("part", F.pmod(F.xxhash64("gram", "item"), F.lit(parts))), parts
+
+
+def with_hits(df: DataFrame, place: int, bench: DataFrame, id_col: str, text_col: str, width: int, finish, schema) -> DataFrame:
+    """``finish(batch, words, spans, items)`` over the rows of ``df``, whose texts stand in column ``place``; ``schema`` is that of its batches."""
+    pairs, parts = window_pairs(bench, id_col, text_col, width)
+    context, n_columns = df.sparkSession.sparkContext, len(df.columns)
+    names = [fresh(df, "hit_spans"), fresh(df, "hit_items")]
+    for part in range(parts):
+        rows = pairs.where(F.col("part") == part).select("gram", "item").toArrow()  # at most about SET_PAIRS rows
+        shared = context.broadcast(WindowSet(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))))
+
+        def look(batches, shared=shared, first=part == 0, last=part == parts - 1):
+            for b in batches:
+                words = [words_of(t.as_py()) for t in b.column(place)]
+                merged, items = [], []
+                for i, w in enumerate(words):
+                    hits = shared.value.hits(w) if w else []
+                    before = [] if first else [(x["start"], x["end"], ()) for x in b.column(n_columns)[i].as_py()]
+                    merged.append(spans(hits + before))
+                    items.append(sorted({x for h in hits for x in h[2]} | set([] if first else b.column(n_columns + 1)[i].as_py())))
+                if last:
+                    yield finish(b, words, merged, items)
+                else:
+                    cuts = pa.array([[{"start": a, "end": z} for a, z in m] for m in merged], SPANS)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n_columns], cuts, pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:n_columns], *names])
+
+        if part == parts - 1:
+            return df.mapInArrow(look, schema)
+        wide = df.select("*", F.lit(None).cast("array<struct<start:long,end:long>>").alias(names[0]), F.lit(None).cast("array<string>").alias(names[1])).schema if part == 0 else df.schema
+        df = staged(df.mapInArrow(look, wide))
+        shared.destroy()
+    return df
 
 
 def spans(hits: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int]]:
@@ -103,27 +161,14 @@ def spans(hits: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int]]
 
 def scan(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (distinct, sorted as strings), spans (first and last word + 1)."""
-    spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(s) for s in window_sets(bench, item_col, item_text, width)]
 
-    def look(batches):
-        for b in batches:
-            n_words, n_hit, items, cuts = [], [], [], []
-            for text in b.column("t"):
-                words = words_of(text.as_py())
-                hits = [h for one in shared for h in one.value.hits(words)] if words else []
-                merged = spans(hits)
-                n_words.append(len(words))
-                n_hit.append(sum(end - start for start, end in merged))
-                items.append(sorted({i for h in hits for i in h[2]}))
-                cuts.append([{"start": a, "end": z} for a, z in merged])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_words", "n_hit", "items", "spans"],
-            )
+    def finish(b, words, merged, items):
+        n_hit = [sum(end - start for start, end in m) for m in merged]
+        cuts = [[{"start": a, "end": z} for a, z in m] for m in merged]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(cuts, SPANS)], names=["id", "n_words", "n_hit", "items", "spans"])
 
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    return narrow.mapInArrow(look, "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return with_hits(narrow, 1, bench, item_col, item_text, width, finish, "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def is_contaminated(n_hit, n_words):
@@ -146,26 +191,20 @@ def decontaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", leng
     A document goes if at least 5 % of its words are hit.  ``length_col``, where
     ``df`` has it, follows the text that is left.
     """
-    spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(s) for s in window_sets(bench, "item_id", "text", width)]
-    places = [i for i, c in enumerate(df.columns) if c == text_col]
-    schema = df.schema
+    place, n_columns = df.columns.index(text_col), len(df.columns)
+
+    def finish(b, words, merged, items):
+        keep, texts = [], []
+        for value, own, cuts in zip(b.column(place), words, merged, strict=True):
+            n_hit = sum(end - start for start, end in cuts)
+            keep.append(not (n_hit > 0 and 20 * n_hit >= len(own)))
+            texts.append(cut_text(value.as_py(), cuts) if n_hit and keep[-1] else value.as_py())
+        columns = list(b.columns[:n_columns])
+        columns[place] = pa.array(texts, b.schema.field(place).type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:n_columns]).filter(pa.array(keep, pa.bool_()))
 
-    def clean(batches):
-        for b in batches:
-            keep, texts = [], []
-            for value in b.column(places[0]):
-                text = value.as_py()
-                words = words_of(text)
-                merged = spans([h for one in shared for h in one.value.hits(words)]) if words else []
-                n_hit = sum(end - start for start, end in merged)
-                keep.append(not (n_hit > 0 and 20 * n_hit >= len(words)))
-                texts.append(cut_text(text, merged) if n_hit and keep[-1] else text)
-            columns = list(b.columns)
-            columns[places[0]] = pa.array(texts, b.schema.field(places[0]).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-    out = df.mapInArrow(clean, schema)
+    schema = df.schema
+    out = with_hits(df, place, bench, "item_id", "text", width, finish, schema)
     if length_col in df.columns:
         out = out.withColumn(length_col, F.when(F.col(f"`{text_col}`").isNull(), F.col(f"`{length_col}`")).otherwise(F.char_length(F.col(f"`{text_col}`")).cast(schema[length_col].dataType)))
     return out

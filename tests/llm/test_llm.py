@@ -495,10 +495,25 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.scan(df.limit(0), bench).count() == 0 and decontaminate.scan(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1, 7])
+def test_many_sets_equal_one(spark, monkeypatch, pairs):
+    """A long item and a window of several items are dealt over sets; spans and items are merged from scan to scan."""
+    pick = random.Random(4)
+    words = [f"w{i}" for i in range(5)]
+    bench = spark.createDataFrame([(i, " ".join(pick.choice(words) for _ in range(15 + 3 * (i == 2)))) for i in range(4)] + [(9, "w0 w1"), (10, "w0 w1")], "item_id long, text string")
+    rows = [(i, " ".join(pick.choice(words) for _ in range(60))) for i in range(12)] + [(50, r.text + " tail " + "pad " * 900) for r in bench.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hit_spans", F.lit("x"))
+    key = lambda r: (r.id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans)))
+    one, cut = sorted(map(key, decontaminate.scan(df, bench).collect())), sorted(decontaminate.decontaminated(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "SET_PAIRS", 20 // pairs)
+    assert sorted(map(key, decontaminate.scan(df, bench).collect())) == one and any(len(r[3]) > 1 for r in one)
+    assert sorted(decontaminate.decontaminated(df, bench).collect()) == cut
+
+
 def test_sets_of_windows_are_merged(spark, monkeypatch):
     items = [(i, f"a{i} b{i} c{i} d{i}") for i in range(6)]
     df = spark.createDataFrame([(i, f"x A{i} b{i}, c{i} d{i} y") for i in range(6)], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "SET_WINDOWS", 2)
+    monkeypatch.setattr(decontaminate, "SET_PAIRS", 2)
     assert all(r.n_hit == 4 and r["items"] == [str(r.id)] for r in decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string")).collect())
 
 
