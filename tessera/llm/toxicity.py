@@ -95,22 +95,29 @@ class Counting:
         self.row[piece] = row
         return row
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers in order, counts)."""
-        counted = Counter(text.lower().split() if text else ())
-        if self.used + len(counted) > len(self.table):
-            self.forget(max(MEMO, len(counted) + 1))
-        rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
-        if self.SEVERAL in rows:
+    def rows(self, counted: dict[str, int]) -> np.ndarray:
+        """(piece, column) -> term number or -1; pieces of several words are replaced, in ``counted``, by these."""
+        for again in (False, True):
+            if self.used + len(counted) > len(self.table):
+                self.forget(max(MEMO, len(counted) + 1))
+            rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
+            if again or self.SEVERAL not in rows:
+                return self.table[np.array(rows, dtype=np.int64)]
             for piece, row in zip(list(counted), rows, strict=True):
                 if row == self.SEVERAL:
                     n = counted.pop(piece)
                     for word in WORD.findall(piece):
-                        counted[word] += n
-            if self.used + len(counted) > len(self.table):
-                self.forget(max(MEMO, len(counted) + 1))
-            rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
-        ids = self.table[np.array(rows, dtype=np.int64)]
+                        counted[word] = counted.get(word, 0) + n
+
+    def distinct(self, text: str | None) -> np.ndarray:
+        """Term numbers in order."""
+        ids = self.rows(dict.fromkeys(text.lower().split(), 1) if text else {}).ravel()
+        return np.unique(ids[ids >= 0])
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers in order, counts)."""
+        counted = Counter(text.lower().split() if text else ())
+        ids = self.rows(counted)
         known = ids >= 0
         counts = np.broadcast_to(np.fromiter(counted.values(), dtype=np.float64, count=len(counted))[:, None], ids.shape)[known]
         found, place = np.unique(ids[known], return_inverse=True)
@@ -302,7 +309,7 @@ def document_frequencies(docs: DataFrame, shared, size: int, text_col: str) -> t
         for b in batches:
             n += b.num_rows
             for t in b.column("t"):
-                found[counting(t.as_py())[0]] += 1
+                found[counting.distinct(t.as_py())] += 1
         found[size] = n
         seen = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(found[seen])], names=["term", "n"])

@@ -459,7 +459,8 @@ def test_counting_terms():
     for _ in range(2):
         ids, n = count(text)
         assert {t: want[t] for t in want} == {k: int(x) for k, i in count.number.items() for j, x in zip(ids, n, strict=True) if i == j}
-    assert len(count(None)[0]) == len(count("")[0]) == 0
+        assert count.distinct(text).tolist() == ids.tolist()
+    assert len(count(None)[0]) == len(count("")[0]) == len(count.distinct(None)) == 0
 
 
 # decontamination
