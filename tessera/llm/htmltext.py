@@ -2,18 +2,18 @@
 
 The markup is stripped to lines, one for each block of text; elements that are no
 article by their name or their class, id and role (menus, footers, sidebars,
-notices, adverts, forms, comments) leave blank lines, as do lines outside the
-``article`` or ``main`` of a page that has one, and lines that are mostly links in a
-page that has none.  The text lengths of ``LINES`` consecutive lines are summed, for
-every line on; a surge starts where the sum rises above a threshold and the line
+notices, adverts, forms, comments, embedded media) leave blank lines.  Where ``article`` or ``main``
+holds at least a quarter of the text that is left, the lines outside leave blanks too; elsewhere
+runs of two or more lines that are mostly links do.  The text lengths of ``LINES`` consecutive
+lines are summed, for every line on; a surge starts where the sum rises above a threshold and the line
 has text, a dive is where it falls to nothing, and the text between is kept.  In a
-page with a landmark only the landmark's lines have text, and what stands there
-before a surge, back to the last dive, is its heading or its short first lines and is
-kept with it; text that no surge follows before the next dive goes on every page.
+page with a landmark what stands there before a surge, back to the last dive, is its
+heading or its short first lines and is kept with it; text that no surge follows before the next dive goes on every page.
 
 Defined results
 * A null page gives an empty text, as does a page without text.
-* Elements that are never closed end nowhere, so they hide nothing but what is raw by nature (script, style).
+* Elements that close themselves or are never closed hide nothing, but ``script`` and ``style``, which run to the end of the page.
+* Elements are known by their whole name: ``<button-bar>`` is no ``button``.
 * Equal pages give equal texts; long pages are read whole, in time linear in their length.
 * An empty table gives an empty result.  Only the named columns are read, so others do not clash.
 """
@@ -34,19 +34,21 @@ SURGE_SHARE, SURGE_MOST = 0.2, 80
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|button|object|canvas|audio|video)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<rest2>[^>]*+)>",
-    re.S | re.I,
+    re.S,
 )
+#: Elements whose content is no markup, and where it ends.
+RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "textarea", "title")}
+TO_THE_END = frozenset(("script", "style"))
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-BY_NAME = frozenset("nav footer aside form menu dialog".split())
+BY_NAME = frozenset("nav footer aside form menu dialog noscript template iframe svg select button object canvas audio video".split())
 HIDEABLE = frozenset("div section ul ol dl table header nav footer aside form p span figure h1 h2 h3 h4 h5 h6 li details fieldset article center".split())
 AWAY = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
@@ -67,12 +69,26 @@ def is_away(name: str, rest: str, in_article: bool) -> bool:
     return bool(called & COMMENTS) or not called & STAY
 
 
+def tokens_of(page: str) -> list[tuple[int, int, str, bool, str, bool]]:
+    """(start, end, name, whether it closes, attributes, whether it is raw content) of each tag, comment and raw element."""
+    tokens, at, open_to_end = [], 0, set()
+    while m := TOKEN.search(page, at):
+        name, end, rest = (m["name"] or m["name2"] or "").lower(), bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
+        at, raw = m.end(), False
+        if name in RAW and not end and not rest.endswith("/") and name not in open_to_end:
+            if close := RAW[name].search(page, at):
+                at, raw = close.end(), True
+            elif name in TO_THE_END:
+                at, raw = len(page), True
+            else:
+                open_to_end.add(name)  # no such end follows, so none is looked for again
+        tokens.append((m.start(), at, "" if raw else name, end, rest, raw))
+    return tokens
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters in links, inside an article, hidden elements just before) of each block, in page order."""
-    tokens = []
-    for m in TOKEN.finditer(page):
-        name = (m["name"] or m["name2"] or "").lower()
-        tokens.append((m.start(), m.end(), name, bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or "", m["raw"] is not None))
+    tokens = tokens_of(page)
     close: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
     for i, (_, _, name, end, rest, _) in enumerate(tokens):
@@ -133,12 +149,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    landmark = any(inside for _, _, inside, _ in lines)
+    landmark = 4 * sum(len(text) for text, _, inside, _ in lines if inside) >= sum(len(text) for text, *_ in lines) > 0
+    listed = [2 * linked > len(text) for text, linked, _, _ in lines]
     spaced: list[str] = []
-    for text, linked, inside, hidden in lines:
+    for i, (text, _, inside, hidden) in enumerate(lines):
         spaced += [""] * hidden
-        away = not inside if landmark else 2 * linked > len(text)
-        spaced.append("" if away else text)
+        menu = listed[i] and (i > 0 and listed[i - 1] or i + 1 < len(lines) and listed[i + 1])
+        spaced.append("" if (not inside if landmark else menu) else text)
     return "\n".join(between(spaced, landmark))
 
 

@@ -351,6 +351,121 @@ def test_surge_and_dive_with_a_landmark():
     assert htmltext.main_text(f"<article>{story}</article>{away}<article>{story}</article>") == f"{want}\n{want}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>a</p><svg/><p>b</p></article>", "a\nb"), ("<article><p>a</p><video-player><p>b</p></video-player><button-bar>c</button-bar></article>", "a\nb\nc"),
+        ("<article><p>a</p><button>x<p>b</p></article>", "a\nx\nb"), ("<article><p>a</p><canvas><p>b</p>", "a\nb"), ("<p>a</p><title>t<p>b</p>", "a\nt\nb"),
+        ("<article><p>a</p><svg><text>x</text></svg><select><option>o</select><p>b</p></article>", "a\nb"), ("<p>a</p><script>x = '<p>';", "a"), ("<p>a</p><script src='x'/><p>b</p>", "a\nb"),
+        ("<article><p>Teaser</p></article><div><p>" + "real words " * 30 + "</p></div>", "Teaser\n" + ("real words " * 30).strip()),
+        ("<p>" + "word " * 30 + "</p><p><a>See this long link here</a>.</p><p>" + "word " * 30 + "</p>", "\n".join([("word " * 30).strip(), "See this long link here.", ("word " * 30).strip()])),
+        ("<title>" * 3000 + "<p>a</p>", "a"),
+    ],
+)
+def test_what_hides_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def brute_lines(page):
+    """Blocks and blanks by the standard library's parser; for pages whose hidden elements are well nested."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.events = []
+
+        def handle_starttag(self, tag, attrs):
+            self.events.append(("open", tag, self.get_starttag_text()))
+
+        def handle_startendtag(self, tag, attrs):
+            self.events.append(("void", tag, ""))
+
+        def handle_endtag(self, tag):
+            self.events.append(("close", tag, ""))
+
+        def handle_data(self, data):
+            self.events.append(("text", data, ""))
+
+    parser = Parser()
+    parser.feed(page)
+    parser.close()
+    lines, words, away, inside, i = [], "", 0, 0, 0
+    events = [e for j, e in enumerate(parser.events)]
+
+    def end_of(i):
+        depth = 0
+        for j in range(i, len(events)):
+            if events[j][1] == events[i][1] and events[j][0] in ("open", "close"):
+                depth += 1 if events[j][0] == "open" else -1
+                if depth == 0:
+                    return j
+        return None
+
+    def flush():
+        nonlocal words, away
+        if words.split():
+            lines.append((" ".join(words.split()), inside > 0, away))
+            away = 0
+        words = ""
+
+    breaks = 0
+    while i < len(events):
+        kind, tag, raw = events[i]
+        if kind == "text":
+            words += tag
+            breaks = breaks if tag.isspace() or not tag else 0
+        elif tag == "br":
+            breaks += 1
+            words += " "
+            if breaks > 1:
+                flush()
+        elif tag in htmltext.RAW and kind == "open":
+            i = end_of(i) if end_of(i) is not None else len(events)
+            i += 1
+            continue
+        else:
+            if tag in htmltext.BLOCKS:
+                flush()
+            elif tag in ("td", "th", "option"):
+                words += " "
+            if kind == "open" and htmltext.is_away(tag, raw[len(tag) + 1 : -1], inside > 0) and end_of(i) is not None:
+                flush()
+                away += 1
+                i = end_of(i) + 1
+                continue
+            if tag in ("article", "main"):
+                inside = max(0, inside + (1 if kind == "open" else -1))
+        i += 1
+    flush()
+    return lines
+
+
+def brute_main_text(page):
+    lines = brute_lines(page or "")
+    if not lines:
+        return ""
+    assert 4 * sum(len(t) for t, inside, _ in lines if inside) >= sum(len(t) for t, *_ in lines)
+    spaced = []
+    for text, inside, away in lines:
+        spaced += [""] * away + [text if inside else ""]
+    sums = [sum(len(x) for x in spaced[i : i + 3]) for i in range(len(spaced))]
+    surge = min(80, 0.2 * max(sums))
+    kept = set()
+    for start in range(len(spaced)):
+        if sums[start] > surge and spaced[start]:
+            left = max([j + 1 for j in range(start) if sums[j] == 0], default=0)
+            right = min([j for j in range(start, len(spaced)) if sums[j] == 0], default=len(spaced))
+            kept |= set(range(left, right))
+    return "\n".join(x for i, x in enumerate(spaced) if x and i in kept)
+
+
+def test_pages_equal_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    wrong = [i for i, page in enumerate(pages) if htmltext.main_text(page) != brute_main_text(page)]
+    assert not wrong
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (2, None, None, "x"), (2, None, "<p>" * 50_000, "x")], "page_id long, url string, html string, text string")
     assert sorted((r.id, r.text, r.n_chars) for r in htmltext.extract(df).collect()) == [(1, "é", 1), (2, "", 0), (2, "", 0)]
