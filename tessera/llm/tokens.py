@@ -10,8 +10,9 @@ before it, and
 gives the exact number of tokens of every prefix in one pass.  A text is first cut
 into pieces as the tokenizer's pattern does; the table of a piece is computed once
 and remembered.  The count of a text's prefix is the count of the whole pieces
-before it and of what is left, cut again as a text of its own, so truncation and
-budget questions never encode a text again.
+before it and of what is left, cut again as a text of its own.  So one pass over a text makes its
+table, and its total, its cuts and its counts are all read off that; :func:`prefix_counts` stores
+the counts, from which :func:`cut_of` answers any budget without the text.
 
 Defined results
 * A null text is an empty text: no bytes, no tokens.
@@ -25,12 +26,13 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
-from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The byte-level pattern that cuts a text into pieces.
@@ -41,6 +43,8 @@ PLAIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{PLAIN_LETTERS}]+| ?[0-9]+| ?[^\t-\
 ODD = rf"[^\t-\r -~{PLAIN_LETTERS}]"
 #: Pieces whose counts a worker remembers, twice: those used since the last full memory, and those before.
 MEMO, TABLES = 400_000, 20_000
+#: Bytes of memory are bounded too: longer pieces are rare and are counted each time.
+MEMO_PIECE = 64
 #: Characters by which a prefix may be cut into pieces otherwise than the text: a contraction or white space before its end.
 BACK = 4
 
@@ -65,7 +69,8 @@ class Totals(dict):
         known = self.before.get(piece)
         if known is None:
             known = self.count(piece.encode())[-1]
-        self[piece] = known
+        if len(piece) <= MEMO_PIECE:
+            self[piece] = known
         return known
 
 
@@ -163,7 +168,9 @@ class PrefixCounter:
             for c in piece:
                 at += len(c.encode())
                 out.append(counts[at])
-            known = self.tables[piece] = tuple(out)
+            known = tuple(out)
+            if len(piece) <= MEMO_PIECE:
+                self.tables[piece] = known
         return known
 
     def segments(self, text: str):
@@ -179,41 +186,49 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of the whole text: the last entry of its prefix table."""
-        if not text:
-            return 0
-        total = self.totals.__getitem__
-        return sum(sum(map(total, self.pieces(part))) + added for part, added in self.segments(text))
+        return self.prefix_table(text).total
 
     def prefix_table(self, text: str | None) -> PrefixTable:
         """Counts at every prefix, held by pieces."""
         text = text or ""
-        starts, before, special, so_far, at = [], [], [], 0, 0
+        total = self.totals.__getitem__
+        runs = []
         for part, added in self.segments(text):
-            for piece in self.pieces(part):
-                starts.append(at)
-                before.append(so_far)
-                special.append(False)
-                so_far += self.totals[piece]
-                at += len(piece)
-            if added:
-                starts.append(at)
-                before.append(so_far)
-                special.append(True)
-                so_far += 1
-                at += self.added.match(text, at).end() - at
-        return PrefixTable(self, text, starts, before, special, so_far)
+            pieces = self.pieces(part)
+            runs.append((pieces, list(map(total, pieces)), added))
+        return PrefixTable(self, text, runs)
 
 
-@dataclass
 class PrefixTable:
-    """The number of tokens of every prefix of a text, by code points."""
+    """The number of tokens of every prefix of a text, by code points.
+
+    ``runs`` holds the pieces between added tokens, their counts, and whether an added token follows.
+    """
 
-    counter: PrefixCounter
-    text: str
-    starts: list[int]
-    before: list[int]
-    special: list[bool]
-    total: int
+    def __init__(self, counter: PrefixCounter, text: str, runs: list[tuple[list[str], list[int], bool]]) -> None:
+        self.counter, self.text, self.runs = counter, text, runs
+        self.total = sum(sum(counts) + added for _, counts, added in runs)
+
+    @cached_property
+    def columns(self) -> tuple[list[int], list[int], list[bool]]:
+        """(start, tokens before it, whether it is an added token) of every piece."""
+        starts, before, special, at, so_far = [], [], [], 0, 0
+        for pieces, counts, added in self.runs:
+            starts += accumulate(map(len, pieces), initial=at)
+            before += accumulate(counts, initial=so_far)
+            special += [False] * len(pieces)
+            at, so_far = starts[-1], before[-1]
+            if added:
+                special.append(True)
+                at, so_far = self.counter.added.match(self.text, at).end(), so_far + 1
+            else:
+                starts.pop()
+                before.pop()
+        return starts, before, special
+
+    starts = property(lambda self: self.columns[0])
+    before = property(lambda self: self.columns[1])
+    special = property(lambda self: self.columns[2])
 
     def at(self, end: int) -> int:
         """Tokens of ``text[:end]``."""
@@ -275,18 +290,10 @@ def token_counts(df: DataFrame, vocabulary_path: str, budget: int = 512, id_col:
             totals = np.zeros(b.num_rows, dtype=np.int64)
             cuts = np.zeros(b.num_rows, dtype=np.int64)
             for i, t in enumerate(b.column("t")):
-                text = t.as_py()
-                totals[i] = counter.count(text)
-                cuts[i] = len(text or "") if totals[i] <= budget else counter.prefix_table(text[: first_part(text, budget)]).cut(budget)
+                table = counter.prefix_table(t.as_py())
+                totals[i], cuts[i] = table.total, table.cut(budget)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(totals), pa.array(cuts)], names=["id", "n_bytes", "n_tokens", "cut"])
 
-    def first_part(text: str, tokens: int) -> int:
-        """Code points from the start that hold more than ``tokens`` tokens, found by doubling."""
-        counter, size = counter_of(shared.value), 3 * tokens + 64
-        while size < len(text) and counter.count(text[:size]) <= tokens + 8:
-            size *= 2
-        return size
-
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
     return narrow.mapInArrow(scan, "id long, n_bytes long, n_tokens long, cut long").withColumn("over_limit", F.col("n_tokens") > budget)
@@ -307,6 +314,11 @@ def prefix_counts(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(scan, "id long, counts array<int>")
 
 
+def cut_of(counts: Column, budget: int) -> Column:
+    """The most code points from the start that make at most ``budget`` tokens, from stored :func:`prefix_counts`."""
+    return F.array_max(F.transform(counts, lambda n, i: F.when(n <= budget, i)))
+
+
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every document, and how much of it fits 512."""
     import public_tokenizers

@@ -321,7 +321,10 @@ def test_token_counts(spark, library):
     for r in tokens.token_counts(df, path, budget=20).collect():
         assert r.n_tokens == len(tokenizer.encode(text[r.id], add_special_tokens=False)) and r.n_bytes == len(text[r.id].encode())
         assert r.over_limit == (r.n_tokens > 20) and len(tokenizer.encode(text[r.id][: r.cut], add_special_tokens=False)) <= 20
-    few = tokens.prefix_counts(df.where("doc_id in (1, 60, 61)"), path).collect()
+    stored = tokens.prefix_counts(df.where("doc_id < 20 or doc_id in (60, 61)"), path)
+    cuts = {r.id: r.cut for r in tokens.token_counts(df, path, budget=20).collect()}
+    assert all(r.cut == cuts[r.id] for r in stored.select("id", tokens.cut_of(F.col("counts"), 20).alias("cut")).collect())
+    few = stored.where("id in (1, 60, 61)").collect()
     assert {r.id: len(r.counts) for r in few} == {1: len(text[1]) + 1, 60: 1, 61: 1}
 
 
