@@ -2,15 +2,21 @@
 
 Coarse centroids and a product quantiser of the residuals are trained on at most
 ``SAMPLE`` vectors, chosen by hash; every vector is indexed.  A query probes the
-lists nearest to it, estimates the distance to their vectors from one table of
-partial distances for each list (asymmetric: the query is not quantised), and the
+lists nearest to it and estimates the distance to their vectors (asymmetric: the query is
+not quantised), where c is a list's centroid and r a vector's quantised residual:
+
+    |q - c - r|^2 = |q - c|^2 + (|r|^2 + 2 c.r) - 2 q.r
+
+The middle term is stored with the vector, and the last is a sum over one table of the
+query's products with the codewords, so a query needs one table for all lists.  The
 nearest by estimate are ranked again by their exact distance, in double precision.
 How many lists are probed is read off the sample: the fewest that hold at least
 ``TARGET`` of the sample's own true neighbours.
 
 Equal vectors are indexed once, with their smallest ids, as many as a result can
 show.  Lists are packed into buckets of about ``BUCKET`` vectors, and a list with
-more is dealt over several, so that no list, however common, lands in one task.
+more is dealt over several, so that no list, however common, lands in one task; the
+queries of a bucket are dealt too, at most ``ASKED`` or so to a task.
 
 Defined results
 * Vectors that are null, empty, zero, or hold null or non-finite components take no part,
@@ -39,6 +45,8 @@ TARGET, TRIES = 0.985, 256
 #: Components of a subvector, and codewords for it.
 SUB, WORDS = 4, 256
 BUCKET = 4_096
+#: Queries that meet a bucket in one task; with more, the bucket is read by several.
+ASKED = 4_096
 #: Vectors ranked exactly in each bucket, for each neighbour asked for.
 RERANK = 25
 SEED = 11
@@ -97,13 +105,17 @@ class Quantiser:
         rest = x - self.centres[own]
         return own, np.stack([nearest(rest[:, c], book) for c, book in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def table(self, q: np.ndarray, cell: int) -> np.ndarray:
-        """(subvector, codeword) -> squared distance from the query's residual in a list."""
-        rest = q - self.centres[cell]
-        out = np.full((len(self.cuts), WORDS), np.inf)
+    def offsets(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """|r|^2 + 2 c.r of each encoded vector."""
+        rest = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+        return ((rest + 2 * self.centres[cell]) * rest).sum(axis=1)
+
+    def table(self, q: np.ndarray) -> np.ndarray:
+        """-2 q.r by (subvector, codeword), flat."""
+        out = np.zeros((len(self.cuts), WORDS))
         for j, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out[j, : len(book)] = ((book - rest[c]) ** 2).sum(axis=1)
-        return out
+            out[j, : len(book)] = -2 * book @ q[c]
+        return out.ravel()
 
 
 def usable(vector: Column) -> Column:
@@ -137,10 +149,10 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         for b in batches:
             if b.num_rows:
                 cell, codes = quantiser.encode(matrix(b.column("v")))
-                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), codes, b.column("ids"), b.column("v")], names=["cell", "codes", "ids", "v"])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), packed, pa.array(quantiser.offsets(cell, codes)), b.column("ids"), b.column("v")], names=["cell", "codes", "shift", "ids", "v"])
 
-    indexed = staged(classes.mapInArrow(index, "cell int, codes binary, ids array<long>, v array<double>"))
+    indexed = staged(classes.mapInArrow(index, "cell int, codes binary, shift double, ids array<long>, v array<double>"))
     sizes = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # at most LISTS rows
     first, parts, bucket, filled = {}, {}, 0, 0
     for cell, size in sorted(sizes.items()):
@@ -180,7 +192,10 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
                     cells.append(value)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(buckets, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["id", "v", "bucket", "cells"])
 
-    asked = rows.where(is_query).mapInArrow(probe, "id long, v array<double>, bucket int, cells array<int>")
+    asked = staged(rows.where(is_query).mapInArrow(probe, "id long, v array<double>, bucket int, cells array<int>"))
+    tasks = staged(asked.groupBy("bucket").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("tasks")))
+    asked = asked.join(tasks, "bucket").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks").cast("long")).cast("int")).drop("tasks")
+    stored = stored.join(tasks, "bucket").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
 
     def rank(queries: pa.Table, held: pa.Table) -> pa.Table:
         quantiser = cloudpickle.loads(shared.value)
@@ -190,16 +205,18 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
             x = matrix(held.column("v").chunk(0))
             cell = np.asarray(held.column("cell"))
             codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+            places = codes + WORDS * np.arange(codes.shape[1])
+            shift = np.asarray(held.column("shift"))
             ids = held.column("ids").to_pylist()
             members = {int(c): np.nonzero(cell == c)[0] for c in np.unique(cell)}
-            column = np.arange(codes.shape[1])
             for q_id, q, cells in zip(queries.column("id").to_pylist(), queries.column("v").to_pylist(), queries.column("cells").to_pylist(), strict=True):
                 q = np.array(q)
-                rows_in = [members[c] for c in cells if c in members]
+                cells = [c for c in cells if c in members]
+                rows_in = [members[c] for c in cells]
                 if not rows_in:
                     continue
-                guess = np.concatenate([quantiser.table(q, int(cell[r[0]]))[column, codes[r]].sum(axis=1) for r in rows_in])
                 found = np.concatenate(rows_in)
+                guess = np.repeat(((quantiser.centres[cells] - q) ** 2).sum(axis=1), list(map(len, rows_in))) + shift[found] + quantiser.table(q)[places[found]].sum(axis=1)
                 if len(found) > RERANK * k:
                     found = found[np.argpartition(guess, RERANK * k)[: RERANK * k]]
                 exact = np.sqrt(((x[found] - q) ** 2).sum(axis=1))
@@ -209,7 +226,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
                 out["score"] += [d for d, _ in pairs]
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(rank, "query_id long, id long, score double")
+    found = asked.groupBy("bucket", "task").cogroup(stored.groupBy("bucket", "task")).applyInArrow(rank, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -211,6 +211,27 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.where("vec_id < 4"), F.col("id") == 0).count() == 3
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_against_brute_force(spark, monkeypatch, clustered):
+    """Uniform and clustered vectors, with buckets and query shares so small that both are dealt."""
+    monkeypatch.setattr(neighbours, "BUCKET", 64)
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    pick = np.random.default_rng(6)
+    x = pick.normal(size=(3000, 16)) * 0.1 + (pick.normal(size=(40, 16))[pick.integers(40, size=3000)] if clustered else pick.normal(size=(3000, 16)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(neighbours.search(df, F.col("id") % 50 == 0).collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.id)
+        assert math.isclose(r.score, math.dist(x[r.query_id], x[r.id]), rel_tol=1e-12)
+    hits = 0
+    for q in range(0, 3000, 50):
+        gaps = ((x - x[q]) ** 2).sum(axis=1)
+        gaps[q] = np.inf
+        assert len(found[q]) == 10
+        hits += len(set(found[q]) & set(np.argsort(gaps, kind="stable")[:10].tolist()))
+    assert hits / 600 >= 0.95
+
+
 # URL filters
 
 
