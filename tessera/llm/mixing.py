@@ -79,18 +79,19 @@ def source_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
     return ranked.select("skey", "total", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def draw(narrow: DataFrame, spec: MixSpec) -> DataFrame:
-    """From staged rows (skey, size, h, ...), the same rows with source_size, target and ``draws``.
+def block_plan(narrow: DataFrame, spec: MixSpec) -> tuple[tuple[DataFrame, bool], tuple[DataFrame, bool]]:
+    """From staged rows (skey, size, h), two staged tables, each with whether it may be broadcast.
 
-    ``draws`` has an entry (pass, shard) for each copy of the row in the mix.
+    The first has a row for each source, with its target and its number of blocks; the
+    second one for each block that is drawn, with its passes and their shards, and where the partial pass ends.
     """
-    totals, fits = small(source_targets(narrow.groupBy("skey").agg(F.sum("size").alias("total")), spec), BROADCAST_ROWS)
+    totals, sources_fit = small(source_targets(narrow.groupBy("skey").agg(F.sum("size").alias("total")), spec), BROADCAST_ROWS)
     totals = totals.select(
         "*",
         F.greatest(F.lit(1), F.least(F.lit(spec.max_blocks), F.ceil(F.col("total") / spec.block_words))).cast("long").alias("blocks"),
         F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("int").alias("full"),
     ).withColumn("rest", F.col("target") - F.col("full") * F.col("total"))
-    placed = join_small(narrow, totals, fits, ["skey"]).withColumn("block", F.col("h") % F.col("blocks"))
+    placed = join_small(narrow, totals, sources_fit, ["skey"]).withColumn("block", F.col("h") % F.col("blocks"))
 
     # the partial pass: blocks in permuted order up to the one that the target falls in
     blocks = placed.groupBy("skey", "block").agg(F.sum("size").alias("words"), F.max("full").alias("full"), F.max("rest").alias("rest"))
@@ -122,12 +123,25 @@ def draw(narrow: DataFrame, spec: MixSpec) -> DataFrame:
     drawn = drawn.select("skey", "block", "pass", (F.col("pass") == F.col("full")).alias("partial"))
     shard_of = split_tree(drawn, spec).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "partial"))).alias("drawn"))
     plan = blocks.select("skey", "block", "words", "part").join(cuts, ["skey", "block"], "left").join(shard_of, ["skey", "block"], "left")
-    plan, fits = small(plan, BROADCAST_ROWS)
-    out = join_small(placed, plan, fits, ["skey", "block"])
-    inside = F.col("h") <= F.when(F.col("size") * 16 > F.col("words"), F.col("long_cut")).otherwise(F.col("short_cut"))
-    keep = F.filter(F.coalesce("drawn", F.expr("array()").cast("array<struct<pass:int,shard:int,partial:boolean>>")), lambda d: ~d["partial"] | ~F.col("part") | F.coalesce(inside, F.lit(False)))
+    return (totals, sources_fit), small(plan, BROADCAST_ROWS)
+
+
+def with_draws(rows: DataFrame, tables, skey: str, size: str, h: str, totals: str, draws: str) -> DataFrame:
+    """``rows`` with its source's (total, target) as the struct ``totals``, and ``draws``: (pass, shard) of each copy in the mix.
+
+    What is drawn follows from a row's source, block, hash and size, so whole rows meet two small tables and are not dealt anew.
+    """
+    (sources, sources_fit), (plan, plan_fits) = tables
+    one, block, two = fresh(rows, "mix_source"), fresh(rows, "mix_block"), fresh(rows, "mix_plan")
+    own, key, place = fresh(rows, "mix_own"), fresh(rows, "mix_key"), fresh(rows, "mix_place")
+    sources = sources.select(F.col("skey").alias(own), F.struct("total", "target", "blocks").alias(one))
+    plan = plan.select(F.col("skey").alias(key), F.col("block").alias(place), F.struct("words", "part", "long_cut", "short_cut", "drawn").alias(two))
+    out = rows.withColumnRenamed(skey, own).join(F.broadcast(sources) if sources_fit else sources, own).withColumn(block, F.col(h) % F.col(f"{one}.blocks"))
+    out = out.withColumnsRenamed({own: key, block: place}).join(F.broadcast(plan) if plan_fits else plan, [key, place])
+    inside = F.col(h) <= F.when(F.col(size) * 16 > F.col(f"{two}.words"), F.col(f"{two}.long_cut")).otherwise(F.col(f"{two}.short_cut"))
+    keep = F.filter(F.coalesce(F.col(f"{two}.drawn"), F.expr("array()").cast("array<struct<pass:int,shard:int,partial:boolean>>")), lambda d: ~d["partial"] | ~F.col(f"{two}.part") | F.coalesce(inside, F.lit(False)))
     kept = F.transform(keep, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
-    return out.withColumn("draws", kept).withColumnRenamed("total", "source_size").drop("blocks", "full", "rest", "block", "words", "part", "long_cut", "short_cut", "drawn")
+    return out.withColumns({totals: F.struct(f"{one}.total", f"{one}.target"), draws: kept}).withColumnRenamed(key, skey).drop(one, two, place)
 
 
 def split_tree(drawn: DataFrame, spec: MixSpec) -> DataFrame:
@@ -159,7 +173,8 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
             word_count(F.col(f"`{text_col}`")).alias("size"), hash60(F.lit(spec.seed), key).alias("h"),
         )
     )
-    return draw(narrow, spec).select("id", F.col("skey").alias("source_key"), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "draws")
+    out = with_draws(narrow, block_plan(narrow.select("skey", "size", "h"), spec), "skey", "size", "h", "totals", "draws")
+    return out.select("id", F.col("skey").alias("source_key"), "size", F.col("totals.total").cast("long").alias("source_size"), F.col("totals.target").cast("double").alias("target"), "draws")
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", spec: MixSpec = MixSpec(), shard_col: str = "mix_shard", order_col: str = "mix_order") -> DataFrame:
@@ -169,26 +184,34 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     partitioned by ``shard_col``, or drop the two columns to read it as it lies.
     """
     rows = df.drop(shard_col, order_col)
-    skey, size, h, draws, one = (fresh(rows, x) for x in ("mix_skey", "mix_size", "mix_h", "mix_draws", "mix_draw"))
+    skey, size, h, draws, one, totals = (fresh(rows, x) for x in ("mix_skey", "mix_size", "mix_h", "mix_draws", "mix_draw", "mix_totals"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     sized = rows.withColumns({skey: source_key(F.col(f"`{source_col}`").cast("string")), size: word_count(F.col(f"`{text_col}`")), h: hash60(F.lit(spec.seed), key)})
-    plan = draw(staged(sized.select(F.col(skey).alias("skey"), F.col(size).alias("size"), F.col(h).alias("h"))), spec)
-    # what is drawn depends on (source, id hash, size) alone, so the texts meet one row for each
-    plan = plan.where(F.size("draws") > 0).groupBy("skey", "size", "h").agg(F.first("draws").alias(draws))
-    plan = plan.withColumnsRenamed({"skey": skey, "size": size, "h": h})
-    out = sized.join(plan, [skey, size, h]).withColumn(one, F.explode(draws))
+    tables = block_plan(staged(sized.select(F.col(skey).alias("skey"), F.col(size).alias("size"), F.col(h).alias("h"))), spec)
+    out = with_draws(sized, tables, skey, size, h, totals, draws).withColumn(one, F.explode(draws)).drop(totals)
     out = out.withColumn(shard_col, F.col(f"{one}.shard")).withColumn(order_col, hash60(F.lit(spec.seed), F.lit("order"), F.col(f"{one}.pass").cast("string"), F.col(h).cast("string")))
     out = out.drop(skey, size, h, draws, one)
     return out.repartition(shard_col, F.col(order_col) % 64).sortWithinPartitions(shard_col, order_col)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    """All documents mixed to 150 % of their words, by source weights 5, 2, 1."""
+    """All documents mixed to 150 % of their words, by source weights 5, 2, 1; ``shards`` are those of a document's copies, by pass."""
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
 
 
-#: The quotas and the permuted blocks, computed plainly: the query's rows come through the splitting tree instead.
+def tree_sql(levels: int = 4) -> str:
+    """The splitting tree over 16 shards, a table for each level."""
+    parts = []
+    for level in range(levels):
+        key = f"('0x' || substr(md5('mix:tree{level}:' || skey || ':' || block::VARCHAR || ':' || pass::VARCHAR), 1, 15))::BIGINT"
+        parts.append(f"""t{level + 1} AS (SELECT skey, block, pass, low + CASE WHEN k <= round(a / 2.0) THEN 0 ELSE {1 << levels - 1 - level} END AS low
+        FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY {key}, skey, block, pass) AS k, count(*) OVER (PARTITION BY low) AS a FROM t{level}))""")
+    return ",\n".join(parts)
+
+
+#: The quotas, the permuted blocks and the splitting tree, by windows.
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 'n') AS skey,
@@ -211,9 +234,12 @@ r0 AS (SELECT p.*, b.words, b.due, p.size * 16 > b.words AS big FROM p JOIN b US
 r1 AS (SELECT *, sum(size) OVER (PARTITION BY skey, block, big ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS mid,
               coalesce(sum(CASE WHEN big THEN size END) OVER (PARTITION BY skey, block), 0) * due / nullif(words, 0) AS big_due FROM r0),
 r2 AS (SELECT *, sum(CASE WHEN big AND mid <= big_due THEN size ELSE 0 END) OVER (PARTITION BY skey, block) AS big_in FROM r1),
-c AS (SELECT skey, block, max(h) FILTER (big AND mid <= big_due) AS big_cut, max(h) FILTER (NOT big AND mid <= due - big_in) AS cut FROM r2 GROUP BY ALL)
-SELECT doc_id, size, total AS source_size, target,
-       (size * (fulls + CASE WHEN due <= 0 THEN 0 WHEN due >= words THEN 1
-                             WHEN h <= coalesce(CASE WHEN big THEN big_cut ELSE cut END, -1) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r2 JOIN c USING (skey, block)
-"""
+c AS (SELECT skey, block, max(h) FILTER (big AND mid <= big_due) AS big_cut, max(h) FILTER (NOT big AND mid <= due - big_in) AS cut FROM r2 GROUP BY ALL),
+t0 AS (SELECT skey, block, unnest(range(0, fulls + (due > 0)::INT)) AS pass, 0 AS low FROM b JOIN s USING (skey)),
+TREE,
+g AS (SELECT skey, block, list(low ORDER BY pass) AS dealt FROM t4 GROUP BY ALL),
+f AS (SELECT r2.*, fulls + CASE WHEN due <= 0 THEN 0 WHEN due >= words THEN 1 WHEN h <= coalesce(CASE WHEN big THEN big_cut ELSE cut END, -1) THEN 1 ELSE 0 END AS copies
+      FROM r2 JOIN c USING (skey, block))
+SELECT doc_id, size, total AS source_size, target, (size * copies)::BIGINT AS taken, coalesce(array_to_string(dealt[1:copies], ','), '') AS shards
+FROM f LEFT JOIN g USING (skey, block)
+""".replace("TREE", tree_sql())
