@@ -1,4 +1,10 @@
-"""TF-IDF with smoothed idf and unit length, as long tables (doc, term, tf, weight)."""
+"""TF-IDF with smoothed idf and unit length, as long tables (doc, term, tf, weight).
+
+Texts are read and cut once: :func:`term_rows` stages the sorted words of each document and counts them
+inside its row, by array functions.  Document frequencies are summed in each
+partition before they are shuffled, the vocabulary is bounded and broadcast after a count, and lengths
+are taken where a document's terms lie together, so no table of all postings is ever shuffled.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_keyword, ngrams, stop_words, tokens
+from tessera.plans.staging import join_small, small, staged
 
 
 @dataclass(frozen=True)
@@ -21,16 +28,28 @@ class TfidfSpec:
     stop: list[str] = field(default_factory=stop_words)
 
 
-def term_counts(docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
-    """(*by, doc, term, tf) from (*by, doc, text)."""
+#: Rows of a vocabulary up to which it is broadcast (some tens of bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def term_rows(docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
+    """(*by, doc, terms) from (*by, doc, text): ``terms`` has a struct (term, tf) for each term of the document.
+
+    The sorted words are staged, so that no lambda below evaluates the cleaning or the sorting again.
+    """
     words = docs.select(*by, "doc", tokens(F.col("text"), spec.stop).alias("_words"))
-    return words.select(*by, "doc", F.explode(ngrams(F.col("_words"), spec.most)).alias("term")).groupBy(*by, "doc", "term").agg(F.count("*").alias("tf"))
+    line = staged(words.select(*by, "doc", F.sort_array(ngrams(F.col("_words"), spec.most)).alias("_all")))
+    places = F.when(F.size("_all") > 0, F.sequence(F.lit(0), F.size("_all") - 1)).otherwise(F.array().cast("array<int>"))
+    runs = line.select(*by, "doc", "_all", F.filter(places, lambda i: (i == 0) | (F.get("_all", i) != F.get("_all", i - 1))).alias("_at"))
+    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_all")))
+    counted = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_all", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return runs.select(*by, "doc", F.filter(counted, lambda x: x["term"].isNotNull()).alias("terms"))
 
 
-def vocabulary(counts: DataFrame, docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
+def vocabulary(rows: DataFrame, docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
     """(*by, term, df, n): terms by frequency, ties by name, fitted in each group of ``by`` by itself."""
     sizes = docs.groupBy(*by).agg(F.count("*").alias("n"))
-    terms = counts.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    terms = rows.select(*by, F.inline("terms")).groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     terms = terms.join(sizes, by) if by else terms.crossJoin(F.broadcast(sizes))  # one row without groups
     kept = terms.where((F.col("df") >= spec.min_df) & (F.col("df") <= F.col("n") * F.lit(spec.max_df)))
     if not by:
@@ -39,10 +58,16 @@ def vocabulary(counts: DataFrame, docs: DataFrame, spec: TfidfSpec, by: list[str
     return kept.withColumn("_k", best).where(F.col("_k") <= spec.features).select(*by, "term", "df", "n")
 
 
-def weights(counts: DataFrame, vocab: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, doc, term, tf, weight): tf * (ln((1 + n) / (1 + df)) + 1), of length 1 in each document."""
+def raw_weights(rows: DataFrame, vocab: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, doc, term, tf, raw): tf * (ln((1 + n) / (1 + df)) + 1), in the partitions of ``rows``."""
+    table, fits = small(vocab, BROADCAST_ROWS)
     raw = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    joined = counts.join(vocab, [*by, "term"]).withColumn("raw", raw)
+    return join_small(rows.select(*by, "doc", F.inline("terms")), table, fits, [*by, "term"]).select(*by, "doc", "term", "tf", raw.alias("raw"))
+
+
+def weights(rows: DataFrame, vocab: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, doc, term, tf, weight): raw weights, of length 1 in each document; only the rows of documents are dealt, not their terms."""
+    joined = raw_weights(rows.repartition("doc"), vocab, by)
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by, "doc")))
     return joined.select(*by, "doc", "term", "tf", (F.col("raw") / length).alias("weight"))
 
@@ -50,20 +75,24 @@ def weights(counts: DataFrame, vocab: DataFrame, by: list[str]) -> DataFrame:
 def tfidf(docs: DataFrame, spec: TfidfSpec, by: list[str] | None = None) -> DataFrame:
     """Weights of all terms of (*by, doc, text)."""
     by = by or []
-    counts = term_counts(docs, spec, by)
-    return weights(counts, vocabulary(counts, docs, spec, by), by)
+    rows = term_rows(docs, spec, by)
+    return weights(rows, vocabulary(rows, docs, spec, by), by)
 
 
 def query_weights(query: str, vocab: DataFrame, spec: TfidfSpec) -> DataFrame:
     """(term, weight) of a query text in a fitted vocabulary; at most as many rows as the query has terms."""
     one = vocab.sparkSession.range(1).select(F.lit("q").alias("doc"), F.lit(query).alias("text"))
-    return weights(term_counts(one, spec, []), vocab, []).select("term", "weight")
+    return weights(term_rows(one, spec, []), vocab, []).select("term", "weight")
 
 
 def text_scores(index: DataFrame, query: DataFrame) -> DataFrame:
-    """(doc, score): cosine of every document that shares a term with the query."""
+    """(doc, score): cosine of every document that shares a term with the query, from raw weights.
+
+    Products and squares are summed in each partition, so a row for each document is shuffled.
+    """
     q = F.broadcast(query.select("term", F.col("weight").alias("q")))  # the terms of one query
-    return index.join(q, "term").groupBy("doc").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    sums = index.join(q, "term", "left").groupBy("doc").agg(F.sum(F.col("raw") * F.col("q")).alias("dot"), F.sum(F.col("raw") * F.col("raw")).alias("square"))
+    return sums.where("dot is not null").select("doc", (F.col("dot") / F.sqrt("square")).alias("score"))
 
 
 def top_terms(index: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

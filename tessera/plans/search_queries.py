@@ -34,9 +34,9 @@ def texts(spark, d, most=None):
 
 def search_index(spark, d):
     docs = texts(spark, d)
-    counts = staged(T.term_counts(docs, SEARCH_SPEC, []))  # read by the vocabulary, the index and the query
-    vocab = staged(T.vocabulary(counts, docs, SEARCH_SPEC, []))
-    return vocab, T.weights(counts, vocab, [])
+    rows = T.term_rows(docs, SEARCH_SPEC, [])
+    vocab = staged(T.vocabulary(rows, docs, SEARCH_SPEC, []))
+    return vocab, T.raw_weights(rows, vocab, [])
 
 
 def search_rank(spark, d):
@@ -161,9 +161,9 @@ def pool(spark, d):
 def app_search_blend(spark, d):
     chosen = pool(spark, d)
     docs = chosen.select(F.col("paper_id").alias("doc"), clean_text(F.col("abstract")).alias("text"))
-    counts = T.term_counts(docs, POOL_SPEC, [])
-    vocab = T.vocabulary(counts, docs, POOL_SPEC, [])
-    scores = T.text_scores(T.weights(counts, vocab, []), T.query_weights(QUERY, vocab, POOL_SPEC))
+    rows = T.term_rows(docs, POOL_SPEC, [])
+    vocab = staged(T.vocabulary(rows, docs, POOL_SPEC, []))
+    scores = T.text_scores(T.raw_weights(rows, vocab, []), T.query_weights(QUERY, vocab, POOL_SPEC))
     return rounded(S.blended_search(chosen, scores, "bo chen"), "search_score", "page_rank_score").select("paper_id", "search_score", "page_rank_score")
 
 
