@@ -99,6 +99,11 @@ def null_kind(value: Column) -> Column:
     return F.when(value.isNull(), "null").when(value == "", "empty").when(value == "None", "none_text").otherwise("value")
 
 
+def year_in(text: Column) -> Column:
+    """The first four digits in a row of a text, as a year; null without."""
+    return F.nullif(F.regexp_extract(text, r"\d{4}", 0), F.lit("")).cast("int")
+
+
 def is_present(value: Column) -> Column:
     """Whether text holds something: not null, not empty, not an empty list or object, not None."""
     return F.coalesce(~value.isin("", "[]", "{}", "None"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -11,15 +13,19 @@ from pyspark.sql import functions as F
 
 #: Rows that agglomerative clustering works on, which holds all pairs; chosen by a hash of the id.
 TREE_ROWS = 12_000
+#: Starts of k-means that run at the same time.
+AT_ONCE = 5
 #: Rows whose distances to all others are held at once.
 BLOCK = 256
 
 
 def kmeans(df: DataFrame, column: str, k: int = 5, starts: int = 10, rounds: int = 300, seed: int = 42):
-    """The k-means model of the least cost out of ``starts`` seeds."""
+    """The k-means model of the least cost out of ``starts`` seeds, fitted ``AT_ONCE`` at a time over one persisted table."""
     rows = df.select(array_to_vector(column).alias("features")).persist()
     try:
-        fits = [KMeans(k=k, maxIter=rounds, seed=seed + i, initMode="k-means||").fit(rows) for i in range(starts)]
+        rows.count()
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            fits = list(pool.map(lambda i: KMeans(k=k, maxIter=rounds, seed=seed + i, initMode="k-means||").fit(rows), range(starts)))
     finally:
         rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)

@@ -52,8 +52,7 @@ def components(df: DataFrame, column: str, k: int, centred: bool = True) -> tupl
 
 def projected(df: DataFrame, column: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
     """``df`` with the vectors' coordinates, by expressions."""
-    shifted = F.zip_with(F.col(column), literal(mean), lambda x, m: x - m)
-    return df.withColumn(column, F.array(*[dot(shifted, literal(a)) for a in axes]))
+    return df.withColumn(column, F.array(*[dot(F.col(column), literal(a)) - F.lit(float(mean @ a)) for a in axes]))
 
 
 def reconstruction_mse(df: DataFrame, column: str, k: int, centred: bool = True) -> float:

@@ -61,6 +61,28 @@ def targets(matched: DataFrame) -> dict[str, list[str]]:
     return {kind: [x.removeprefix(kind + ":") for x in items if x.startswith(kind + ":")] for kind in ("author", "cluster", "keyword")}
 
 
+def suggest(rules: DataFrame, query: str = "", author: str = "", k: int = 8) -> DataFrame:
+    """The k rules of the highest confidence whose left side holds a word of the query, or all words of the author's name; words of over two letters."""
+    text = F.lower(F.array_join("antecedents", ", "))
+    holds = lambda words: F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    words, names = ([w for w in x.lower().split() if len(w) > 2] for x in (query, author))
+    hit = F.exists(holds(words), lambda x: x) if words else F.lit(False)
+    if author.strip():
+        hit |= F.forall(holds(names), lambda x: x) if names else F.lit(True)
+    return rules.where(hit).orderBy(F.desc("confidence"), F.desc("lift"), "antecedents", "consequents").limit(k)
+
+
+def suggested_papers(pool: DataFrame, suggested: DataFrame, k: int = 10) -> DataFrame:
+    """The first k papers whose title or abstract holds a word, of over three letters, that suggested rules lead to; ``suggested`` has at most some rows."""
+    items = suggested.select(F.array_join("consequents", ", ").alias("t")).collect()
+    words = sorted({w for r in items for w in r.t.lower().split() if len(w) > 3})
+    if not words:
+        return pool.limit(0)
+    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "abstract")]
+    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(fields[0], w) | F.contains(fields[1], w))
+    return pool.where(hit).orderBy("paper_id").limit(k)
+
+
 def browse(rules: DataFrame, confidence: float = 0.0, lift: float = 0.0, kinds: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
     """Rules at or above both values, of the kinds, that hold any of the words on either side; by lift."""
     text = F.lower(F.concat_ws(" ", F.array_join("antecedents", ", "), F.array_join("consequents", ", ")))

@@ -13,6 +13,7 @@ from tessera.operators import reduce as D
 from tessera.operators import trends as Z
 from tessera.operators.vectors import standardised
 from tessera.plans.corpus import dated, table
+from tessera.plans.staging import staged
 
 FITS = """SELECT * FROM (VALUES ('kmeans', 'k=5', 5.724D, 0.0D, 0.0343D, 'valid'), ('kmeans', 'k=8', 7.25D, 0.0D, 0.0291D, 'valid'), ('kmeans', 'k=2', 2.5D, 0.0D, 0.0311D, 'valid'),
     ('dbscan', 'eps=0.9', 2.806D, 0.9971D, 0.2509D, 'valid'), ('dbscan', 'eps=0.3', 2.5D, 1.0D, NULL, 'too_few_clusters'), ('agglomerative', 'ward k=5', 35.268D, 0.0D, 0.0281D, 'valid'),
@@ -27,9 +28,9 @@ def rounded(df, *columns):
 
 
 def vectors(spark, d):
-    """Usable vectors: cleaned, standardised, of length 1."""
+    """Usable vectors: cleaned, standardised, of length 1; staged, as every fit reads them several times."""
     rows = table(spark, d, "embeddings").select("vec_id", cleaned(F.col("embedding")).alias("v"), "label").where(norm(F.col("v")) > 0)
-    return standardised(rows, "v").withColumn("v", unit(F.col("v")))
+    return staged(standardised(rows, "v").withColumn("v", unit(F.col("v"))))
 
 
 def minmax_scores(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def context_items(top: list, words: list[str], request: S.Request) -> list[str]:
 
 
 def answer(papers: DataFrame, vocab: DataFrame, index: DataFrame, spec: T.TfidfSpec, rules: DataFrame, request: S.Request) -> DataFrame:
-    """(section, rank, paper): every section of the answer, each paper as JSON; at most some tens of rows."""
+    """(section, score, paper_id, paper): every section of the answer, each entry as JSON; at most some tens of rows.
+
+    Papers, rules and context share their items: clusters, keywords and authors as the rules were mined from.
+    """
     query = T.query_weights(request.text or "", vocab, spec)
     top = staged(S.rank(papers, T.text_scores(index, query), request))
     seeds = [r.paper_id for r in top.select("paper_id").collect()]
@@ -41,4 +46,11 @@ def answer(papers: DataFrame, vocab: DataFrame, index: DataFrame, spec: T.TfidfS
         record = F.to_json(F.struct(*PAPER, F.when(~F.isnan(score), F.round(score, 6)).alias(score)))
         part = found.select(F.lit(section).alias("section"), F.round(score, 6).alias("score"), "paper_id", record.alias("paper"))
         parts = part if parts is None else parts.unionByName(part)
-    return parts
+    spark, schema = papers.sparkSession, "section string, score double, paper_id string, paper string"
+    context = {"query_text": request.text, "author_query": request.author, "cluster_query": request.cluster, "top_k": request.top_k, "query_keywords_used_for_rules": words}
+    lists = [("search_context", None, None, json.dumps(context, ensure_ascii=False))]
+    for kind in ("author", "cluster", "keyword"):
+        lists += [(f"recommended_{kind}s", None, None, json.dumps(x, ensure_ascii=False)) for x in to[kind]]
+    rule = F.to_json(F.struct("antecedents", "consequents", *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")], "rule_type", "overlap"))
+    found = matched.select(F.lit("matched_rules").alias("section"), F.round("context_score", 6).alias("score"), F.lit(None).cast("string").alias("paper_id"), rule.alias("paper"))
+    return parts.unionByName(spark.createDataFrame(lists, schema)).unionByName(found)

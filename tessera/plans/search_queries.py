@@ -21,6 +21,7 @@ QUERY = "there and onth with tion"
 SEEDS = ["3", "8", "13"]
 REQUEST = S.Request(QUERY, "Bo Chen", 3, 5)
 SUPPORT, CONFIDENCE = 0.001, 0.05
+PAPER_SUPPORT, PAPER_CONFIDENCE = 0.005, 0.05
 CONTEXT = ["cluster:A", "keyword:Brand#11", "keyword:Brand#23", "author:Supplier#000000003"]
 
 
@@ -65,8 +66,7 @@ def tfidf_weights(spark, d):
 
 
 def doc_keywords(spark, d):
-    words = T.keywords(T.tfidf(texts(spark, d), KEYWORD_SPEC), 4, stop_words())
-    return words.select("doc", F.array_join("keywords", ",").alias("keywords"))
+    return paper_keywords(spark, d).select("doc", F.array_join("keywords", ",").alias("keywords"))
 
 
 def query_keywords(spark, d):
@@ -86,6 +86,39 @@ def all_rules(spark, d):
     return R.association_rules(R.frequent_pairs(baskets(spark, d), SUPPORT), CONFIDENCE)
 
 
+def paper_keywords(spark, d):
+    """(doc, keywords): the four best terms of each document's text."""
+    return T.keywords(T.tfidf(texts(spark, d), KEYWORD_SPEC), 4, stop_words())
+
+
+def paper_baskets(spark, d):
+    """Papers with their cluster, the keywords of their text and their authors."""
+    rows = papers(spark, d).join(paper_keywords(spark, d), F.col("doc") == F.col("paper_id"), "left")
+    return rows.select(F.col("paper_id").alias("txn"), R.transaction(F.col("cluster_id"), F.col("keywords"), F.col("authors_list")).alias("items"))
+
+
+def rules_of_papers(spark, d):
+    return R.association_rules(R.frequent_pairs(staged(paper_baskets(spark, d)), PAPER_SUPPORT), PAPER_CONFIDENCE)
+
+
+def paper_transactions(spark, d):
+    return paper_baskets(spark, d).where(F.size("items") >= 2).select("txn", F.array_join(F.array_sort("items"), ",").alias("items"))
+
+
+def paper_rules(spark, d):
+    return flat(rules_of_papers(spark, d))
+
+
+def rule_suggestions(spark, d):
+    return flat(R.suggest(all_rules(spark, d), "brand#11 of cluster:r", "supplier#000000002"))
+
+
+def rule_suggestion_papers(spark, d):
+    """Papers that hold what suggested rules lead to, the rules being mined from the papers' own keywords."""
+    plain = rules_of_papers(spark, d).withColumn("consequents", F.transform("consequents", lambda x: F.regexp_replace(x, "^[a-z]+:", "")))
+    return R.suggested_papers(papers(spark, d), R.suggest(plain, "cluster:1 author:bo", "chen"), 20).select("paper_id", "year")
+
+
 def flat(rules):
     return rounded(rules, "support", "confidence", "lift").withColumns({"antecedents": F.array_join("antecedents", ","), "consequents": F.array_join("consequents", ",")})
 
@@ -147,11 +180,22 @@ def association_recommend(spark, d):
 
 
 def recommendation_document(spark, d):
-    """The nested answer to a request, as JSON: one row for each section."""
+    """The nested answer to a request, as JSON: one row for each entry of a section.
+
+    Papers have the cluster that K-Means gives to their vector, where they have one, and the
+    keywords of their text; the rules are mined from just these.
+    """
+    from tessera.operators.cluster import kmeans_labels
+    from tessera.plans.ml_queries import vectors
     from tessera.plans.recommend import answer
 
+    clusters = kmeans_labels(vectors(spark, d), "vec_id", "v").select(F.col("vec_id").cast("string").alias("paper_id"), F.col("cluster_id").alias("own_cluster"))
+    rows = papers(spark, d).drop("paper_keywords").join(clusters, "paper_id", "left").join(paper_keywords(spark, d).withColumnRenamed("doc", "paper_id"), "paper_id", "left")
+    rows = staged(rows.withColumns({"cluster_id": F.coalesce("own_cluster", "cluster_id"), "paper_keywords": F.coalesce("keywords", F.array().cast("array<string>"))}).drop("own_cluster", "keywords"))
+    items = rows.select(F.col("paper_id").alias("txn"), R.transaction(F.col("cluster_id"), F.col("paper_keywords"), F.col("authors_list")).alias("items"))
+    rules = R.association_rules(R.frequent_pairs(items, PAPER_SUPPORT), PAPER_CONFIDENCE)
     vocab, index = search_index(spark, d)
-    return answer(papers(spark, d), vocab, index, SEARCH_SPEC, all_rules(spark, d), REQUEST)
+    return answer(rows, vocab, index, SEARCH_SPEC, rules, REQUEST)
 
 
 def pool(spark, d):
@@ -197,22 +241,35 @@ QUERIES = {
     for f in (
         search_rank, search_cases, tfidf_weights, doc_keywords, query_keywords, transactions, frequent_pairs, association_rules, rule_types, rule_match, rule_browser, vector_normalise,
         vector_standardise, seed_centroid_neighbours, same_cluster_neighbours, same_author, association_recommend, recommendation_document, app_search_blend,
-        app_similar_recency, app_weighted_sample, cluster_summary, map_join_filter, keyword_papers,
+        app_similar_recency, app_weighted_sample, cluster_summary, map_join_filter, keyword_papers, paper_transactions, paper_rules, rule_suggestions, rule_suggestion_papers,
     )
 }
 
 BASKETS = """l AS (SELECT l_orderkey, l_returnflag, p_brand, 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
   g AS (SELECT l_orderkey AS txn, min(l_returnflag) AS c, list_sort(list(DISTINCT p_brand)) AS k, list_sort(list(DISTINCT s)) AS a FROM l GROUP BY 1),
   b AS (SELECT txn, ['cluster:' || c] || list_transform(k, lambda x: 'keyword:' || x) || list_transform(a[1:5], lambda x: 'author:' || x) AS items FROM g)"""
-PAIRS = f"""WITH {BASKETS}, big AS (SELECT * FROM b WHERE len(items) >= 2), i AS (SELECT txn, unnest(items) AS item FROM big), t AS (SELECT count(*) AS n FROM big),
-  c AS (SELECT item, count(*) AS c FROM i GROUP BY item HAVING count(*) >= (SELECT n FROM t) * {SUPPORT}),
+
+
+def pairs_sql(baskets: str, support: float) -> str:
+    """CTEs up to ``pairs`` over CTEs that end in ``b`` (txn, items)."""
+    return f"""WITH {baskets}, big AS (SELECT * FROM b WHERE len(items) >= 2), i AS (SELECT txn, unnest(items) AS item FROM big), t AS (SELECT count(*) AS n FROM big),
+  c AS (SELECT item, count(*) AS c FROM i GROUP BY item HAVING count(*) >= (SELECT n FROM t) * {support}),
   p AS (SELECT x.item AS a, y.item AS b, count(*) AS n_ab FROM i x JOIN i y ON x.txn = y.txn AND x.item < y.item GROUP BY ALL),
-  pairs AS (SELECT p.a, p.b, n_ab, ca.c AS n_a, cb.c AS n_b, n FROM p JOIN c ca ON ca.item = p.a JOIN c cb ON cb.item = p.b, t WHERE n_ab >= n * {SUPPORT})"""
+  pairs AS (SELECT p.a, p.b, n_ab, ca.c AS n_a, cb.c AS n_b, n FROM p JOIN c ca ON ca.item = p.a JOIN c cb ON cb.item = p.b, t WHERE n_ab >= n * {support})"""
+
+
+PAIRS = pairs_sql(BASKETS, SUPPORT)
 KINDS = """CASE WHEN a LIKE 'keyword:%' AND b LIKE 'cluster:%' THEN 'keyword_to_topic' WHEN a LIKE 'cluster:%' AND b LIKE 'keyword:%' THEN 'topic_to_keyword' WHEN a LIKE 'keyword:%' AND b LIKE 'author:%' THEN 'keyword_to_author'
   WHEN a LIKE 'author:%' AND b LIKE 'keyword:%' THEN 'author_to_keyword' WHEN a LIKE 'author:%' AND b LIKE 'cluster:%' THEN 'author_to_topic' WHEN a LIKE 'cluster:%' AND b LIKE 'author:%' THEN 'topic_to_author'
   WHEN a LIKE 'author:%' AND b LIKE 'author:%' THEN 'author_to_author' WHEN a LIKE 'keyword:%' AND b LIKE 'keyword:%' THEN 'keyword_to_keyword' WHEN a LIKE 'cluster:%' AND b LIKE 'cluster:%' THEN 'topic_to_topic' ELSE 'mixed_rule' END"""
-RULES = f"""{PAIRS}, sides AS (SELECT a, b, n_ab, n_a, n_b, n FROM pairs UNION ALL SELECT b, a, n_ab, n_b, n_a, n FROM pairs),
-  rules AS (SELECT a AS antecedents, b AS consequents, n_ab / n AS support, n_ab / n_a AS confidence, (n_ab / n_a) / (n_b / n) AS lift, {KINDS} AS rule_type FROM sides WHERE n_ab / n_a >= {CONFIDENCE})"""
+
+
+def rules_sql(pairs: str, confidence: float) -> str:
+    return f"""{pairs}, sides AS (SELECT a, b, n_ab, n_a, n_b, n FROM pairs UNION ALL SELECT b, a, n_ab, n_b, n_a, n FROM pairs),
+  rules AS (SELECT a AS antecedents, b AS consequents, n_ab / n AS support, n_ab / n_a AS confidence, (n_ab / n_a) / (n_b / n) AS lift, {KINDS} AS rule_type FROM sides WHERE n_ab / n_a >= {confidence})"""
+
+
+RULES = rules_sql(PAIRS, CONFIDENCE)
 FLAT = "antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, rule_type"
 
 
@@ -240,6 +297,12 @@ def oracle() -> dict[str, str]:
     context = "[" + ", ".join(f"'{c}'" for c in CONTEXT) + "]"
     words = "list_filter(list_transform(list(term ORDER BY k), lambda t: {}), lambda x: x IS NOT NULL)"
     one = f"CASE WHEN length(t) >= 3 AND NOT list_contains({stop}, t) THEN t END"
+    from_papers = f"""{tfidf_sql(KEYWORD_SPEC, 'one', text)}, k AS (SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS k FROM w QUALIFY k <= 4),
+      kw AS (SELECT doc, list_distinct({words.format(one)}) AS keywords FROM k GROUP BY doc), pp AS ({PAPERS_SQL}),
+      b AS (SELECT paper_id AS txn, list_distinct(['cluster:' || cluster_id] || list_transform(coalesce(keywords, []), lambda x: 'keyword:' || x) || list_transform(authors_list[1:5], lambda x: 'author:' || x)) AS items
+            FROM pp LEFT JOIN kw ON doc = paper_id)"""
+    paper_rules = rules_sql(pairs_sql(from_papers, PAPER_SUPPORT), PAPER_CONFIDENCE)
+
     def case(name: str, r: S.Request) -> str:
         st = "coalesce(score, 0)" if r.text else "0"
         sa = author(r.author.lower()) if r.author else "0"
@@ -282,5 +345,12 @@ def oracle() -> dict[str, str]:
         "cluster_summary": f"WITH {p} SELECT cluster_id, count(*) AS papers, min(year) AS first_year, max(year) AS last_year FROM p GROUP BY cluster_id",
         "map_join_filter": f"""WITH {p}, m AS (SELECT vec_id::VARCHAR AS paper_id, p.year, coalesce(p.cluster_id, label) AS cluster_id, e.embedding[1]::DOUBLE AS x, e.embedding[2]::DOUBLE AS y FROM embeddings e LEFT JOIN p ON p.paper_id = vec_id::VARCHAR)
             SELECT paper_id, year, cluster_id, round(x, 6) AS x, round(y, 6) AS y FROM m WHERE cluster_id IN (0, 1, 2) AND coalesce(year, -1) BETWEEN 2015 AND 2022""",
+        "paper_transactions": f"WITH {from_papers} SELECT txn, array_to_string(list_sort(items), ',') AS items FROM b WHERE len(items) >= 2",
+        "paper_rules": f"{paper_rules} SELECT {FLAT} FROM rules",
+        "rule_suggestions": f"{RULES} SELECT {FLAT} FROM rules r WHERE contains(lower(antecedents), 'brand#11') OR contains(lower(antecedents), 'cluster:r') OR contains(lower(antecedents), 'supplier#000000002') ORDER BY r.confidence DESC, r.lift DESC, antecedents, consequents LIMIT 8",
+        "rule_suggestion_papers": f"""{paper_rules}, s AS (SELECT * FROM rules WHERE contains(lower(antecedents), 'cluster:1') OR contains(lower(antecedents), 'author:bo') OR contains(lower(antecedents), 'chen')
+            ORDER BY confidence DESC, lift DESC, antecedents, regexp_replace(consequents, '^[a-z]+:', '') LIMIT 8),
+            v AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(lower(regexp_replace(consequents, '^[a-z]+:', '')), ' ')) AS x FROM s) WHERE length(x) > 3)
+            SELECT paper_id, year FROM pp WHERE EXISTS (SELECT 1 FROM v WHERE contains(lower(coalesce(title, '')), x) OR contains(lower(coalesce(abstract, '')), x)) ORDER BY paper_id LIMIT 20""",
         "keyword_papers": f"WITH {p} SELECT paper_id, year FROM p WHERE len(list_filter(['tion', 'schaft', 'ciónado'], lambda w: contains(lower(concat_ws(' ', title, abstract)), w))) > 0 ORDER BY paper_id LIMIT 20",
     }

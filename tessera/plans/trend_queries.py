@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.papers import year_in
 from tessera.functions.text import clean_text
 from tessera.operators import tfidf as T
 from tessera.operators import trends as Z
@@ -107,6 +108,18 @@ def keyword_heatmap(spark, d):
     return wide.orderBy(F.desc(F.round(total, 5)), "term").limit(20).select("term", *[F.col(f"`{y}`").alias(f"y{y}") for y in YEARS])
 
 
+def keyword_rank_pivot(spark, d):
+    """Rank of each listed term by year, the smallest is the best; null where it is not listed."""
+    wide = keywords_per_year(spark, d).groupBy("term").pivot("year", YEARS).agg(F.min("rank"))
+    return wide.select("term", *[F.col(f"`{y}`").cast("long").alias(f"y{y}") for y in YEARS])
+
+
+def version_years(spark, d):
+    """Records by the year that their first version's RFC-2822 date names."""
+    created = F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss 'GMT'")
+    return table(spark, d, "orders").select(year_in(created).alias("year")).groupBy("year").agg(F.count("*").alias("count"))
+
+
 def keyword_track(spark, d):
     return rounded(T.keyword_rate(texts_by_year(spark, d), WORDS, ["year"], F.col("text")), "rate")
 
@@ -125,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         annual_volume, annual_share, monthly_share, monthly_share_by_category, yoy_growth, cagr, dominant_category, share_pivot, iqr_anomalies, event_anomalies,
-        month_grid_fill, keywords_per_year, keywords_per_category, trending_keywords, keyword_heatmap, keyword_track, keyword_drift, cluster_share_yoy,
+        month_grid_fill, keywords_per_year, keywords_per_category, trending_keywords, keyword_heatmap, keyword_rank_pivot, version_years, keyword_track, keyword_drift, cluster_share_yoy,
     )
 }
 
@@ -190,6 +203,8 @@ def oracle() -> dict[str, str]:
             SELECT category, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY category ORDER BY weight DESC, term) AS rank FROM mean QUALIFY rank <= 6""",
         "trending_keywords": f"{per_year} SELECT term, round(sum(weight), 5) AS score, count(*) AS years FROM best GROUP BY term ORDER BY score DESC, term LIMIT 8",
         "keyword_heatmap": f"{per_year}, p AS (SELECT term, {wide}, round(sum(weight), 5) AS total FROM best GROUP BY term) SELECT * EXCLUDE (total) FROM p ORDER BY total DESC, term LIMIT 20",
+        "keyword_rank_pivot": f"{per_year} SELECT term, " + ", ".join(f"min(rank) FILTER (year = {y}) AS y{y}" for y in YEARS) + " FROM best GROUP BY term",
+        "version_years": "SELECT regexp_extract(strftime(o_orderdate, '%a, %-d %b %Y %H:%M:%S GMT'), '\\d{4}')::INT AS year, count(*) AS count FROM orders GROUP BY 1",
         "keyword_track": f"WITH t AS ({text}), c AS ({counts}) SELECT year, keyword, count, round(count / n, 6) AS rate FROM c",
         "keyword_drift": f"WITH t AS ({text}), c AS ({drift}) SELECT category, year, keyword, count, round(count / n, 6) AS rate FROM c",
         "cluster_share_yoy": f"""WITH d AS (SELECT year, CAST(doc % 5 AS VARCHAR) AS category, false AS is_partial_year FROM ({text})), {SHARE}

@@ -20,15 +20,20 @@ PAPER_DEFAULTS = {"title": "''", "abstract": "''", "authors_list": "cast(array()
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """A record for each valid line; blank and broken lines are skipped."""
+    """A record for each valid line, all null if it names no known field; blank and broken lines are skipped."""
     broken = "_broken"
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
-    return rows.where(F.col(broken).isNull() & ~F.forall(F.array(*[F.col(f"`{c}`").isNull() for c in schema.names]), lambda x: x)).drop(broken)
+    return rows.where(F.col(broken).isNull()).drop(broken)
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document over several lines."""
-    return spark.read.option("multiLine", True).json(path)
+    """One JSON document over several lines; an empty table if there is none."""
+    try:
+        return spark.read.option("multiLine", True).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType())
 
 
 def parquet(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:

@@ -32,15 +32,24 @@ def json_document(df: DataFrame, path: str, most: int = 10_000) -> None:
     Path(path).write_text(json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def run_summary(path: str, parameters: dict, tables: dict[str, DataFrame], **results) -> dict:
+    """A run's parameters, the rows of its tables, and further results, as one JSON document; returns it."""
+    document = {"parameters": parameters, "rows": {name: df.count() for name, df in tables.items()}, **results}
+    Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+    return document
+
+
 def records(df: DataFrame, columns: list[str], scores: list[str]) -> DataFrame:
     """The columns and those of the scores that ``df`` has."""
     return df.select(*columns, *[c for c in scores if c in df.columns])
 
 
-def text_report(sections: dict[str, DataFrame], path: str, most: int = 1_000) -> None:
-    """Sections of a text report, each a table of at most ``most`` rows."""
+def text_report(sections: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
+    """Sections of a text report, each a table; one of more than ``most`` rows is an error."""
     out = []
     for title, df in sections.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{title}: more than {most} rows; write them as a table")
         out += [title, "-" * max(len(title), 8), "  ".join(df.columns), *["  ".join("" if v is None else str(v) for v in r) for r in rows], ""]
     Path(path).write_text("\n".join(out), encoding="utf-8")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import papers as P
 from tessera.functions import text as X
-from tessera.operators import evaluate, rules, tfidf, trends
+from tessera.operators import evaluate, rules, search, tfidf, trends
 from tessera.plans import registry
 from tessera.operators.cluster import dbscan_labels, merge_tree
 from tessera.operators.forecast import forecast
@@ -58,10 +58,28 @@ def test_minmax(spark):
     assert {(r.g, r.x): (r.up, r.down) for r in got} == {("a", 1.0): (0.0, 1.0), ("a", 3.0): (1.0, 0.0), ("a", None): (0.0, 0.0), ("b", 2.0): (0.5, 0.5), ("c", None): (0.0, 0.0)}
 
 
-def test_golden_scores():
-    assert math.isclose(1 * 2.85642 * 0.77586 * (1 + 0.00225), 2.2212, rel_tol=1e-4)  # a matched rule's context score
-    assert math.isclose(0.60 * 1 + 0.25 * 0 + 0.15 * 1, 0.75)
-    assert math.isclose(0.60 * 0.0275 + 0.25 + 0.15 * 0.9101, 0.4030, rel_tol=1e-3)
+def test_golden_scores(spark):
+    rule = spark.createDataFrame([(["keyword:a"], ["cluster:1"], 0.00225, 0.77586, 2.85642)], "antecedents array<string>, consequents array<string>, support double, confidence double, lift double")
+    assert math.isclose(rules.match_rules(rule, ["keyword:a"]).first().context_score, 2.2212, rel_tol=1e-4)
+    assert rules.match_rules(rule, ["keyword:b"]).count() == rules.match_rules(rule, []).count() == 0
+    papers = spark.createDataFrame([("1", ["Ada Byron"], 1), ("2", ["Bo Chen"], 2), ("3", None, None)], "paper_id string, authors_list array<string>, cluster_id int")
+    scores = spark.createDataFrame([("1", 1.0), ("2", 0.0275)], "doc string, score double")
+    got = {r.paper_id: r.page_rank_score for r in search.rank(papers, scores, search.Request("x", "bo chen", 1)).collect()}
+    assert math.isclose(got["1"], 0.60 + 0.15) and math.isclose(got["2"], 0.60 * 0.0275 + 0.25) and got["3"] == 0
+
+
+def test_rule_suggestions(spark):
+    rows = [(["keyword:deep learning"], ["author:ada"], 0.1, 0.5, 1.0), (["author:bo chen"], ["keyword:graphs"], 0.1, 0.9, 1.0), (["cluster:1"], ["cluster:2"], 0.1, 0.9, 2.0)]
+    df = spark.createDataFrame(rows, "antecedents array<string>, consequents array<string>, support double, confidence double, lift double")
+    assert [r.antecedents[0] for r in rules.suggest(df, "of Deep", "chen").collect()] == ["author:bo chen", "keyword:deep learning"]
+    assert rules.suggest(df, "of", "").count() == 0 and rules.suggest(df, "", "bo").count() == 3  # no word of over two letters restricts nothing
+    papers = spark.createDataFrame([("1", "On keyword:graphs", None), ("2", None, "nothing")], "paper_id string, title string, abstract string")
+    assert [r.paper_id for r in rules.suggested_papers(papers, rules.suggest(df, "", "chen")).collect()] == ["1"]
+
+
+def test_year_in_text(spark):
+    df = spark.createDataFrame([("Mon, 2 Apr 2007 19:18:42 GMT",), ("none",), (None,), ("12345",)], "t string")
+    assert [r.y for r in df.select(P.year_in(F.col("t")).alias("y")).collect()] == [2007, None, None, 1234]
 
 
 def test_rules_mirror_each_other(spark):

@@ -9,8 +9,9 @@ from tessera.streaming import ingest
 
 def test_json_lines_skip_blank_and_broken(spark, tmp_path):
     good = {"id": "1501.00001", "title": "T", "authors_parsed": [["Byron", "Ada", ""]], "versions": [{"version": "v1", "created": "x"}]}
-    (tmp_path / "a.json").write_text(json.dumps(good) + "\n\n{broken\n" + json.dumps({"id": "2"}) + "\n")
-    rows = readers.json_lines(spark, str(tmp_path / "a.json")).orderBy("id").collect()
+    (tmp_path / "a.json").write_text(json.dumps(good) + "\n\n{broken\n" + json.dumps({"id": "2"}) + "\n{\"other\": 1}\n")
+    assert readers.json_lines(spark, str(tmp_path / "a.json")).where("id is null").count() == 1 and readers.json_document(spark, str(tmp_path / "none.json")).count() == 0
+    rows = readers.json_lines(spark, str(tmp_path / "a.json")).where("id is not null").orderBy("id").collect()
     assert [r.id for r in rows] == ["1501.00001", "2"] and rows[0].authors_parsed == [["Byron", "Ada", ""]]
 
 
@@ -42,6 +43,10 @@ def test_report_round_trip(spark, tmp_path):
     writers.text_report({"ANNUAL VOLUME": df}, str(tmp_path / "r.txt"))
     found = readers.report_sections(spark, str(tmp_path / "r.txt"), {"annual": "^ANNUAL"}).collect()
     assert [r.text for r in found][-1] == "2020  5"
+    with pytest.raises(ValueError, match="more than 10000 rows"):
+        writers.text_report({"LONG": spark.range(10_001)}, str(tmp_path / "r.txt"))
+    summary = writers.run_summary(str(tmp_path / "s.json"), {"k": 5}, {"papers": df}, silhouette=0.5)
+    assert json.loads((tmp_path / "s.json").read_text()) == summary == {"parameters": {"k": 5}, "rows": {"papers": 1}, "silhouette": 0.5}
 
 
 def test_stream_cleans_like_the_batch(spark, tmp_path):
