@@ -3,7 +3,9 @@
 ``staged(df)`` writes a DataFrame once, as Parquet, below the folder that the
 session names in ``spark.checkpoint.dir`` and returns the table read back.  The
 rows are computed once however often the result is used, a lost executor costs
-nothing, and the optimizer sees the true size of the table.  Only where the
+nothing, and the optimizer sees the true size of the table.  ``release(spark)`` deletes what
+the application has staged, once its results are written; at the end of the process that is done
+if the session is still there.  Only where the
 session names no folder (tests, notebooks on one machine) is one made below the
 system's temporary folder.
 """
@@ -11,6 +13,7 @@ system's temporary folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_STAGED: dict[str, tuple[SparkSession, list[str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +43,29 @@ def staged(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder and read back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, (spark, []))[1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has staged and returns their number; results that read them must be written before."""
+    _, paths = _STAGED.pop(spark.sparkContext.applicationId, (spark, []))
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark, _ in list(_STAGED.values()):
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the gateway may be gone before us
+                release(spark)
+
+
 def small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Stages ``df`` and says whether it has at most ``max_rows`` rows, so that it may be broadcast."""
     table = staged(df)

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 
+from tessera.plans import staging
 from tessera.sources import readers, writers
 from tessera.streaming import ingest
 
@@ -56,3 +57,11 @@ def test_stream_cleans_like_the_batch(spark, tmp_path):
     stream = ingest.raw_stream(spark, str(tmp_path / "in"), readers.RAW_SCHEMA).withColumnRenamed("journal-ref", "journal_ref")
     ingest.start_clean(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.paper_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1501.00001"]
+
+
+def test_release_deletes_what_was_staged(spark):
+    from pathlib import Path
+
+    table = staging.staged(spark.range(5))
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and staging.release(spark) >= 1 and not folder.exists() and staging.release(spark) == 0
