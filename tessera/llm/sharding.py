@@ -40,23 +40,13 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket
 
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    """Mixed keys in [0, 2^31): splitmix64's finaliser."""
-    z = keys.astype(np.int64).view(np.uint64).copy()
-    with np.errstate(over="ignore"):
-        z += np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(33)).astype(np.int64)
-
-
 def assign_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", bin_rows: int = 20_000) -> DataFrame:
     """One row per row of ``df``: ``key``, size, text_crc32, law, shard, slot, grown_shard.
 
     ``slot`` numbers a shard's rows from 0 without gaps, in the order of
     (bin, key, checksum, size).  A shard is never sorted as a whole: rows fall into
-    bins of about ``bin_rows`` by a mixed key, each (shard, bin) is numbered by
-    itself, and the bins' counts, a small table, give the offsets.
+    bins of about ``bin_rows`` by a hash of key, checksum and size, so that one key on many texts
+    (or no key) is spread; each (shard, bin) is numbered by itself, and the bins' counts, a small table, give the offsets.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     narrow = df.select(
@@ -69,13 +59,13 @@ def assign_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
         for b in batches:
             keys = np.asarray(b.column("k").fill_null(-1))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(jump_hash(keys, shards), pa.int32()), pa.array(jump_hash(keys, shards + 1), pa.int32()), pa.array(spread(keys), pa.int64())],
-                names=["k", "size", "crc", "shard", "grown", "mix"],
+                [*b.columns, pa.array(jump_hash(keys, shards), pa.int32()), pa.array(jump_hash(keys, shards + 1), pa.int32())],
+                names=["k", "size", "crc", "shard", "grown"],
             )
 
-    placed = staged(narrow.mapInArrow(place, "k long, size long, crc long, shard int, grown int, mix long"))
+    placed = staged(narrow.mapInArrow(place, "k long, size long, crc long, shard int, grown int"))
     bins = max(1, -(-placed.count() // bin_rows))
-    binned = placed.withColumn("bin", F.pmod("mix", F.lit(bins)))
+    binned = placed.withColumn("bin", F.pmod(F.xxhash64("k", "crc", "size"), F.lit(bins)))
     counts = binned.groupBy("shard", "bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets, fits = small(counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), 200_000)

@@ -293,6 +293,13 @@ def test_sharding_laws(spark):
         assert (r["size"], r.text_crc32) == (len(data) + 1, zlib.crc32(data))
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_one_key_for_all_rows(spark, key):
+    df = spark.createDataFrame([(key, f"text {i % 90}") for i in range(200)], "doc_id long, text string")
+    rows = sharding.assign_shards(df, bin_rows=20).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(200))
+
+
 def test_jump_hash_equals_its_loop_and_moves_little():
     def loop(key, n):
         key, b, j = key % 2**64, -1, 0
@@ -524,6 +531,54 @@ def test_learning_from_odd_labels(spark, learn):
     assert learn(none_of(spark), spark.createDataFrame([], schema)).count() == 0
 
 
+def brute_features(text):
+    data = (text or "").encode()
+    words = data.split()
+    if not words:
+        return [0.0] * (2 * quality.N_KINDS + 13) + [1.0]
+    kinds = [0.0] * quality.N_KINDS
+    for c in data:
+        kind = [i for i, chars in enumerate(quality.KINDS.values()) if c in chars]
+        kinds[kind[-1] if kind else quality.N_KINDS - 1] += 1 / len(data)
+    n, counts = len(words), Counter(words)
+    again = sum(words[i] == words[i + 1] for i in range(n - 1)) / n
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    upper = sum(w.isupper() for w in words) / n
+    marked = sum(chr(w[-1]) in "!#$%&*|" for w in words) / n
+    letters = kinds[0] + kinds[1] + kinds[14]
+    shape = [math.log1p(n), len(data) / n / 10, len(counts) / n, math.log1p(len(counts)) / math.log1p(n), max(counts.values()) / n, again, math.log1p(100 * again), 1 - len(set(lines)) / len(lines)]
+    shape += [math.log1p(n / len(lines)), kinds[0] / (letters + 1e-9), upper, math.log1p(100 * upper), math.log1p(100 * marked)]
+    return kinds + [math.log1p(200 * k) for k in kinds] + shape + [0.0]
+
+
+def test_quality_features_and_ranking_equal_brute_force():
+    pick = random.Random(3)
+    letters = "ab AB\n\t 1.,!|#é漢'(:"
+    some = ["", None, " \n", "word", *["".join(pick.choice(letters) for _ in range(pick.randint(1, 300))) for _ in range(80)]]
+    for text in some:
+        assert np.allclose(quality.features(text), brute_features(text), atol=1e-12)
+    x = np.array([quality.features(t) for t in some])
+    label = np.array([int((t or "").count("!") > 3) for t in some])
+    model = quality.rank(x, label)
+    z = np.clip((x - model.centre) / model.scale, -8, 8)
+    draw = np.random.default_rng(7)
+    good, bad = z[label == 1], z[label == 0]
+    m = quality.PAIRS * max(min(len(good), len(bad)), 200)
+    gap = good[draw.integers(len(good), size=m)] - bad[draw.integers(len(bad), size=m)]
+
+    def loss(w):
+        return np.log1p(np.exp(-gap @ w)).mean() + quality.PENALTY / 2 * w @ w
+
+    for i in range(len(model.weights)):  # no step in any direction makes the penalised logistic loss smaller
+        for step in (-1e-3, 1e-3):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved) >= loss(model.weights) - 1e-12
+    below = (model.strength(x) < model.threshold - 1e-12).sum()
+    assert abs(below - (label == 0).sum()) <= 1
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(model.threshold - model.strength(x))))
+
+
 def index_of(vectors, size):
     starts = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
     return toxicity.Index(starts, np.array([t for v in vectors for t in sorted(v)], dtype=np.int32), np.array([v[t] for v in vectors for t in sorted(v)]), size)
