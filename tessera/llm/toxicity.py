@@ -35,7 +35,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -55,7 +55,7 @@ BLOCK, COMMON, MOST_COMMON = 64, 1 / 64, 128
 #: Keeps the logarithm of a vote's odds finite.
 SOFT = 0.02
 #: Texts that are scored together, and words whose terms a worker remembers.
-BATCH, MEMO = 128, 200_000
+BATCH, MEMO = 128, 100_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -170,7 +170,7 @@ class Index:
         rare = np.nonzero(~is_common)[0]
         rare = rare[np.lexsort((rows[rare], self.terms[rare]))]
         starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=self.size))])
-        return common, dense, dense.max(axis=2), starts, rows[rare], self.weights[rare]
+        return common, dense, dense.max(axis=2), starts, rows[rare].astype(np.int32), self.weights[rare]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (terms, weights of unit length) the k largest (cosine, example), exactly; only examples that share a term."""
@@ -213,16 +213,14 @@ def kth(scores: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights and index of the labelled examples, and the curve from votes to scores."""
+    """Weights and index of the labelled examples."""
 
     idf: np.ndarray
     index: Index
     labels: np.ndarray
     ids: np.ndarray
     bare: float
-    curve: tuple[float, float] = (0.0, 1.0)
     flat: float | None = None
-    place: dict[int, int] = field(default_factory=dict)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return unit(terms, counts, self.idf)
@@ -238,8 +236,8 @@ class Model:
             out.append((sum(c * self.labels[e] for c, e in near) / all_votes if near else None, [e for _, e in near]))
         return out
 
-    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
-        """(score, ids of the evidence) of each text's counts."""
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]], curve: tuple[float, float]) -> list[tuple[float, list[int]]]:
+        """(score, ids of the evidence) of each text's counts, by the curve from votes to scores."""
         out = []
         for share, near in self.votes([self.vector(*c) for c in counted]):
             if self.flat is not None:
@@ -247,7 +245,7 @@ class Model:
             elif share is None:
                 score = self.bare
             else:
-                score = 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * odds(share))))
+                score = 1 / (1 + math.exp(-(curve[0] + curve[1] * odds(share))))
             out.append((score, self.ids[near].tolist()))
         return out
 
@@ -321,7 +319,7 @@ def document_frequencies(docs: DataFrame, shared, size: int, text_col: str) -> t
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text"):
-    """(broadcast vocabulary, broadcast model); both are bounded by EXAMPLES and CHARS."""
+    """(broadcast vocabulary, broadcast model, curve from votes to scores); all are bounded by EXAMPLES and CHARS."""
     context = docs.sparkSession.sparkContext
     examples = bounded(labelled(docs, labels, label_col, id_col, text_col, learn, EXAMPLES))
     rows = sorted(zip(*[c.to_pylist() for c in examples.select("id", "label", "t").toArrow().columns], strict=True))
@@ -344,21 +342,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_co
     model = Model(idf, index, (own == 1).astype(np.float64), np.array([i for i, _, _ in rows], dtype=np.int64), ((alone == 1).sum() + ones / max(1, len(own))) / (len(alone) + 1) if len(own) else 0.0)
     if not 0 < ones < len(own):
         model.flat = (ones + 0.5) / (len(own) + 1) if len(own) else 0.0
-        return vocabulary, context.broadcast(model)
-    model.place = {int(i): e for e, i in enumerate(model.ids)}
-    first = context.broadcast(model)
+        return vocabulary, context.broadcast(model), (0.0, 1.0)
+    shared = context.broadcast(model)
 
     def vote(batches):
         for counted, b in counts_of(batches, Counting(vocabulary.value), 1):
-            found = first.value.votes([first.value.vector(*c) for c in counted], [first.value.place[i] for i in b.column(0).to_pylist()])
+            own = np.searchsorted(shared.value.ids, np.asarray(b.column(0))).tolist()
+            found = shared.value.votes([shared.value.vector(*c) for c in counted], own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64())], names=["id", "share"])
 
     shares = {r.id: r.share for r in examples.select("id", "t").repartition(16, "id").mapInArrow(vote, "id long, share double").collect()}  # at most EXAMPLES rows of numbers
     known = [(shares[i], label == 1) for i, label, _ in rows if shares[i] is not None]
-    if known:
-        model.curve = fit_curve(np.array([s for s, _ in known]), np.array([float(x) for _, x in known]))
-    first.destroy()
-    return vocabulary, context.broadcast(model)
+    return vocabulary, shared, fit_curve(np.array([s for s, _ in known]), np.array([float(x) for _, x in known])) if known else (0.0, 1.0)
 
 
 def counts_of(batches, counting: Counting, place: int):
@@ -371,11 +366,11 @@ def counts_of(batches, counting: Counting, place: int):
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence) of every document; labels are learned from ids whose crc32 mod 4 is not 2."""
-    vocabulary, model = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
+    vocabulary, model, curve = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
 
     def score(batches):
         for counted, b in counts_of(batches, Counting(vocabulary.value), 1):
-            found = model.value.scores(counted)
+            found = model.value.scores(counted, curve)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(score, "id long, score double, evidence array<long>")
@@ -387,12 +382,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, la
     Each row is scored in place, so a row is kept or dropped for its own text; a null text is kept unless
     examples without terms are toxic at that rate.
     """
-    vocabulary, model = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
+    vocabulary, model, curve = fit(docs, labels, label_col, ~in_fold(F.col("id"), 4, 2), id_col, text_col)
     place = docs.columns.index(text_col)
 
     def keep(batches):
         for counted, b in counts_of(batches, Counting(vocabulary.value), place):
-            yield b.filter(pa.array([s < threshold for s, _ in model.value.scores(counted)], pa.bool_()))
+            yield b.filter(pa.array([s < threshold for s, _ in model.value.scores(counted, curve)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
