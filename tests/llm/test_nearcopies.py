@@ -105,3 +105,7 @@ def test_bucket_rows_equal_brute_force(size):
         for r in batch.to_pylist():
             (got_members.add((r["key"], r["a"])) if r["kind"] else got_pairs.add((r["a"], r["b"])))
     assert got_pairs == pairs and got_members == members
+
+
+def test_keys_do_not_depend_on_the_size_of_the_table():
+    assert nearcopies.layout(10) == nearcopies.layout(nearcopies.WIDE) == nearcopies.layout(1 << 40)
