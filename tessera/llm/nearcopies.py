@@ -16,15 +16,18 @@ small in large tables too, and one layout serves every size: whether two texts m
 Measured on pairs among 25,000 distinct texts of the 0.1 GB tables (2,191 of similarity 0.8 or more):
 24 keys of each of eight triples find 0.998 of those from 0.80 to 0.82 and 0.9995 of all.
 
-Links.  Rows (key, text, 128-bit sketch) are dealt once, by key, and streamed: in a bucket of at
-most ``FEW`` texts all pairs are candidates, in a larger one every text is paired with the first;
-pairs whose sketches differ in more than ``SKETCH`` bits end there, so texts that share a key by chance
-cost no further row.  Candidates are verified on the whole shingle sets, each text with the least of its
+Links.  Rows (key, text) are dealt once, by key, and streamed: in a bucket of at
+most ``FEW`` texts all pairs are candidates, in a larger one every text is paired with the first.
+Distinct pairs whose 128-bit sketches differ in more than ``SKETCH`` bits end there, so texts that share a key by chance
+are not compared. Candidates are verified on the whole shingle sets, each text with the least of its
 candidates first, then what this has not joined.  Where a larger bucket is not one class then, its
 texts are compared in full: buckets that share texts form a family, a family is cut into
 blocks, and each pair of blocks is compared in one task that emits links only.  No candidate
 is dropped, no pairs of a whole group are made as rows, and a task holds a few rows of a bucket, however large.
 
+Whole texts move only if they are compared or may go: a bitmap of ``MARKS`` bits, whatever the
+table's size, tells the others apart where they lie, and the exact join decides on what it lets through.
+
 A class is what links reach, and one row of it stays.
 
 Defined results
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.names import fresh
 from tessera.llm.simhash import GENERATOR, components, one_each
-from tessera.plans.staging import staged
+from tessera.plans.staging import discard, staged
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
 #: Bits of a segment, and codewords of it that keys are made of.
@@ -58,6 +61,8 @@ GROUPS, PER_GROUP = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)], 24
 WIDE = 1 << 26
 #: Differing bits of 128 up to which a candidate is verified: unrelated texts differ in 64, standard deviation 6.
 SKETCH = 50
+#: Bits of the bitmap of texts, at most 4 MB to each executor.
+MARKS = 1 << 25
 #: Texts of a bucket of which all pairs are candidates, and texts of a block of a family.
 FEW, BLOCK = 8, 256
 #: Texts whose fingerprints are decoded together, and texts that a task remembers so as not to repeat them.
@@ -169,7 +174,7 @@ def bucket_rows(batches):
     """From rows (key, node, s0, s1) sorted by key and node: candidate pairs (kind 0: a, b) and the rows of large buckets (kind 1: a is the node).
 
     A bucket of at most FEW texts gives all its pairs whose sketches are near, a larger one
-    those with its first text.  What is held between batches is at most FEW rows, or the first one of a large bucket.
+    those with its first text; rows without sketches are all near.  What is held between batches is at most FEW rows, or the first one of a large bucket.
     """
     held, large = None, False
 
@@ -202,7 +207,7 @@ def bucket_rows(batches):
         return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "key", "s0", "s1"])
 
     for batch in batches:
-        rows = np.stack([np.asarray(batch.column(c)) for c in ("key", "node", "s0", "s1")])
+        rows = np.stack([np.asarray(batch.column(c)) if c in batch.schema.names else np.zeros(batch.num_rows, np.int64) for c in ("key", "node", "s0", "s1")])
         rows = rows if held is None else np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
@@ -218,17 +223,40 @@ def bucket_rows(batches):
         yield pairs(held, False, False)
 
 
+def marks(nodes: DataFrame) -> DataFrame:
+    """Staged (mark_bucket, mark_bits): a bitmap of the distinct ``nodes`` (node), at most MARKS bits in rows of 4 KB."""
+    bit = F.col("node").bitwiseAND(F.lit(MARKS - 1))
+    rows = nodes.select(F.bitmap_bucket_number(bit).alias("mark_bucket"), F.bitmap_bit_position(bit).alias("at")).repartition("mark_bucket")
+    return staged(rows.groupBy("mark_bucket").agg(F.bitmap_construct_agg("at").alias("mark_bits")))
+
+
+def by_marks(rows: DataFrame, node: str, marked: DataFrame, how: str) -> DataFrame:
+    """The rows whose node has a mark (``left_semi``; other nodes may share it) or none (``left_anti``)."""
+    marked = marked.withColumnsRenamed(keys := {c: fresh(rows, c) for c in ("mark_bucket", "mark_bits")})
+    bit = F.col(f"`{node}`").bitwiseAND(F.lit(MARKS - 1))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(keys["mark_bits"]), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return rows.join(F.broadcast(marked), (F.bitmap_bucket_number(bit) == F.col(keys["mark_bucket"])) & there, how)
+
+
 def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Staged (node, s): the shingle hashes of the texts of ``nodes``."""
+    """Staged (node, s): the shingle hashes of the texts of ``nodes``, distinct ones."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    wanted = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    wanted = by_marks(texts, "node", marks(nodes), "left_semi").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
     return staged(wanted.mapInArrow(sets, "node long, s array<long>"))
 
 
+def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most SKETCH bits."""
+    both = pairs.join(sketches.toDF("a", "a0", "a1"), "a").join(sketches.toDF("b", "b0", "b1"), "b")
+    return both.where(F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= SKETCH).select("a", "b")
+
+
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -236,17 +264,17 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.where(overlap >= LEAST * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
 
-def family_links(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links between texts of the same large bucket (key, node, s0, s1) that are not of one class yet; None if there are none."""
+def family_links(texts: DataFrame, members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between texts of the same large bucket (key, node) that are not of one class yet; None if there are none."""
     large = staged(members.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = large.groupBy("key").agg(F.min("node").alias("lo"))
     rest = large.join(first, "key").where("node <> lo")  # the first has met all
     left = staged(rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("b")).where("r0 <> r1").select("key", "b"))
     if left.isEmpty():
         return None
-    rest = staged(rest.join(left, "key").select("node", "s0", "s1", "root", "b"))
+    rest = staged(rest.join(left, "key").select("node", "root", "b"))
     families = components(staged(rest.select(F.col("node").alias("a"), "b").where("a <> b").distinct())).withColumnRenamed("root", "family")
-    members = staged(rest.select("node", "s0", "s1", "root").distinct().join(families, "node"))
+    members = staged(rest.select("node", "root").distinct().join(families, "node").join(sketches, "node"))
     members = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "family")
     own = F.pmod(F.xxhash64("node"), F.col("m").cast("long")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -289,9 +317,11 @@ def similar_classes(texts: DataFrame, n: int) -> DataFrame:
     """(node, root) for the nodes of ``texts`` (node, t), ``n`` distinct ones, that have near copies: ``root`` is the least node of the class."""
     groups, per_group = layout(n)
     prints = staged(fingerprints(texts, groups, per_group))
-    keyed = prints.select(F.explode("keys").alias("key"), "node", "s0", "s1").repartition("key").sortWithinPartitions("key", "node")
-    found = staged(keyed.mapInArrow(bucket_rows, "kind int, a long, b long, key long, s0 long, s1 long"))
-    pairs = staged(found.where("kind = 0").select("a", "b").distinct())
+    keyed = prints.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    found = staged(keyed.mapInArrow(bucket_rows, "kind int, a long, b long, key long, s0 long, s1 long").select("kind", "a", "b", "key"))
+    sketches = staged(prints.select("node", "s0", "s1").distinct())
+    discard(prints)
+    pairs = staged(near(found.where("kind = 0").select("a", "b").distinct(), sketches))
     held = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # every text meets the least of its candidates first; pairs that this joins already need no comparison
     links = staged(verified(pairs.groupBy("b").agg(F.min("a").alias("a")), held))
@@ -300,8 +330,11 @@ def similar_classes(texts: DataFrame, n: int) -> DataFrame:
     apart = pairs.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = staged(links.unionByName(verified(apart, held)))
     classes = components(links)
-    more = family_links(texts, found.where("kind = 1").select("key", F.col("a").alias("node"), "s0", "s1").distinct(), classes)
-    return classes if more is None else components(staged(links.unionByName(more)))
+    more = family_links(texts, found.where("kind = 1").select("key", F.col("a").alias("node")).distinct(), sketches, classes)
+    if more is not None:
+        classes = components(staged(links.unionByName(more)))
+    discard(found, sketches, pairs, held, links)
+    return classes
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,9 +348,13 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     winners = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.node").alias("w_node"))
     keys = {c: fresh(df, c) for c in ("w_id", "w_node")}
     winners = staged(winners.withColumnsRenamed(keys))
-    stay = rows.join(winners, (F.col(node) == F.col(keys["w_node"])) & id_.eqNullSafe(F.col(keys["w_id"])), "left_semi")
+    # a text with one row and no near copy stays where it is; the others meet the winners
+    doubtful = classes.select("node").unionByName(narrow.groupBy("node").count().where("count > 1").select("node")).distinct()
+    doubtful = marks(doubtful)
+    alone, rest = (by_marks(rows, node, doubtful, how) for how in ("left_anti", "left_semi"))
+    stay = rest.join(winners, (F.col(node) == F.col(keys["w_node"])) & id_.eqNullSafe(F.col(keys["w_id"])), "left_semi")
     repeated = staged(stay.groupBy(F.col(node).alias(keys["w_node"])).count().where(F.col("count") > 1).select(keys["w_node"]))
     if not repeated.isEmpty():  # rows that repeat an id and a text
         on = F.col(node) == F.col(keys["w_node"])
         stay = stay.join(repeated, on, "left_anti").unionByName(one_each(stay.join(repeated, on, "left_semi"), F.col(node), text_col))
-    return stay.drop(node)
+    return alone.unionByName(stay).drop(node)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import drop_near_duplicates
 from tessera.llm import nearcopies
+from tessera.plans import staging
 
 
 def test_copies_of_similarity_08_go(spark):
@@ -109,3 +110,34 @@ def test_bucket_rows_equal_brute_force(size):
 
 def test_keys_do_not_depend_on_the_size_of_the_table():
     assert nearcopies.layout(10) == nearcopies.layout(nearcopies.WIDE) == nearcopies.layout(1 << 40)
+
+
+def test_unrelated_texts_share_no_keys():
+    """Chance meetings grow with the square of the table."""
+    pick = random.Random(11)
+    groups, per_group = nearcopies.layout(2000)
+    segments = 1 + max(map(max, groups))
+    sums = np.stack([nearcopies.votes(nearcopies.shingles(" ".join(f"w{pick.randrange(10**6)}" for _ in range(40))), segments) for _ in range(2000)])
+    keys = np.concatenate([np.unique(k) for at in range(0, 2000, 100) for k in nearcopies.fuzzy_keys(sums[at : at + 100], groups, per_group)])
+    assert len(keys) - len(np.unique(keys)) <= 5  # two segments a key: some 50
+
+
+def test_marks_part_rows_by_node(spark):
+    pick = random.Random(3)
+    nodes = [0, 1, -1, 2**63 - 1, -(2**63), nearcopies.MARKS, nearcopies.MARKS - 1, 32768, 32769] + [pick.randrange(-(2**63), 2**63) for _ in range(300)]
+    marked = nodes[:150]
+    rows = spark.createDataFrame([(n, str(n)) for n in nodes], "node long, mark_bits string")
+    bitmap = nearcopies.marks(spark.createDataFrame([(n,) for n in marked], "node long"))
+    bits = {n % nearcopies.MARKS for n in marked}
+    for how, inside in (("left_semi", True), ("left_anti", False)):
+        found = [r.node for r in nearcopies.by_marks(rows, "node", bitmap, how).collect()]
+        assert sorted(found) == sorted(n for n in nodes if (n % nearcopies.MARKS in bits) == inside)
+
+
+def test_keys_do_not_stay_on_disk(spark):
+    began = len(staging._STAGED.get(spark.sparkContext.applicationId, (spark, []))[1])
+    rows = [(i, " ".join(f"w{i}x{j % 7}" for j in range(30))) for i in range(20)] + [(20, " ".join(f"w3x{j % 7}" for j in range(30)))]
+    kept = drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    left = staging._STAGED[spark.sparkContext.applicationId][1][began:]
+    assert not any({"keys", "s", "s0"} & set(spark.read.parquet(path).columns) for path in left)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
