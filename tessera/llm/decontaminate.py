@@ -38,6 +38,8 @@ from tessera.plans.staging import staged
 WINDOW = 13
 #: Pairs of a window and an item in one broadcast set.
 SET_PAIRS = 400_000
+#: Texts whose words are held at once.
+BATCH = 256
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -126,7 +128,7 @@ def with_hits(df: DataFrame, place: int, bench: DataFrame, id_col: str, text_col
         shared = context.broadcast(WindowSet(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))))
 
         def look(batches, shared=shared, first=part == 0, last=part == parts - 1):
-            for b in batches:
+            for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
                 words = [words_of(t.as_py()) for t in b.column(place)]
                 merged, items = [], []
                 for i, w in enumerate(words):

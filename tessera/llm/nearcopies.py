@@ -66,7 +66,7 @@ MARKS = 1 << 25
 #: Texts of a bucket of which all pairs are candidates, and texts of a block of a family.
 FEW, BLOCK = 8, 256
 #: Texts whose fingerprints are decoded together, and texts that a task remembers so as not to repeat them.
-BATCH, SEEN = 32, 200_000
+BATCH, SEEN = 16, 200_000
 
 
 def layout(n: int) -> tuple[list[tuple[int, ...]], int]:
