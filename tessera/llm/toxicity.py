@@ -64,6 +64,17 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *["^" + word[:n] for n in (4, 5) if n < len(word)])
 
 
+class Rows(dict):
+    """Rows of a table by pieces; an unknown piece is learned."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        row = self[piece] = self.learn(piece)
+        return row
+
+
 class Counting:
     """Counts the vocabulary's terms in texts.
 
@@ -75,53 +86,71 @@ class Counting:
 
     def __init__(self, terms: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
+        self.prefix = {t[1:]: i for i, t in enumerate(terms) if t[0] == "^"}
         self.forget(MEMO)
 
     def forget(self, size: int) -> None:
-        self.row: dict[str, int] = {}
+        self.row = Rows(self.learn)
         self.table = np.full((size, 3), -1, dtype=np.int64)
         self.used = 1  # the first row is blank
+        self.new: list[tuple[int, int, int]] = []
 
     def learn(self, piece: str) -> int:
-        words = WORD.findall(piece)
-        if len(words) > 1:
-            row = self.SEVERAL
-        elif not words:
-            row = self.BLANK
+        """The row of a piece; what it is to hold is added to ``new``."""
+        if piece.isalnum():  # what WORD matches in full
+            word = piece
         else:
-            row, self.used = self.used, self.used + 1
-            for column, term in enumerate(terms_of(words[0])):
-                self.table[row, column] = self.number.get(term, -1)
-        self.row[piece] = row
-        return row
+            words = WORD.findall(piece)
+            if len(words) > 1:
+                return self.SEVERAL
+            word = words[0] if words else ""
+        size = len(word)
+        prefix = self.prefix.get
+        ids = (self.number.get(word, -1), prefix(word[:4], -1) if size > 4 else -1, prefix(word[:5], -1) if size > 5 else -1)
+        if ids == (-1, -1, -1):
+            return self.BLANK
+        self.new.append(ids)
+        self.used += 1
+        return self.used - 1
 
     def rows(self, counted: dict[str, int]) -> np.ndarray:
         """(piece, column) -> term number or -1; pieces of several words are replaced, in ``counted``, by these."""
         for again in (False, True):
-            if self.used + len(counted) > len(self.table):
+            if len(self.row) + 1 + len(counted) > len(self.table):
                 self.forget(max(MEMO, len(counted) + 1))
-            rows = [self.learn(p) if r is None else r for p, r in zip(counted, map(self.row.get, counted), strict=True)]
-            if again or self.SEVERAL not in rows:
-                return self.table[np.array(rows, dtype=np.int64)]
-            for piece, row in zip(list(counted), rows, strict=True):
-                if row == self.SEVERAL:
-                    n = counted.pop(piece)
-                    for word in WORD.findall(piece):
-                        counted[word] = counted.get(word, 0) + n
+            rows = np.fromiter(map(self.row.__getitem__, counted), dtype=np.int64, count=len(counted))
+            if self.new:
+                self.table[self.used - len(self.new) : self.used] = self.new
+                self.new.clear()
+            several = rows == self.SEVERAL
+            if again or not several.any():
+                return self.table[rows]
+            pieces = list(counted)
+            for at in np.nonzero(several)[0].tolist():
+                n = counted.pop(pieces[at])
+                for word in WORD.findall(pieces[at]):
+                    counted[word] = counted.get(word, 0) + n
+
+    def present(self, text: str | None) -> np.ndarray:
+        """Term numbers, which may repeat."""
+        ids = self.rows(dict.fromkeys(text.lower().split(), 1) if text else {}).ravel()
+        return ids[ids >= 0]
 
     def distinct(self, text: str | None) -> np.ndarray:
         """Term numbers in order."""
-        ids = self.rows(dict.fromkeys(text.lower().split(), 1) if text else {}).ravel()
-        return np.unique(ids[ids >= 0])
+        return np.unique(self.present(text))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers in order, counts)."""
         counted = Counter(text.lower().split() if text else ())
         ids = self.rows(counted)
         known = ids >= 0
-        counts = np.broadcast_to(np.fromiter(counted.values(), dtype=np.float64, count=len(counted))[:, None], ids.shape)[known]
-        found, place = np.unique(ids[known], return_inverse=True)
-        return found, np.bincount(place, weights=counts, minlength=len(found))
+        counts = np.broadcast_to(np.fromiter(counted.values(), dtype=np.int64, count=len(counted))[:, None], ids.shape)[known]
+        found = ids[known] << 32 | counts  # sorted together: no text has 2^32 words
+        found.sort()
+        terms = found >> 32
+        first = np.nonzero(np.diff(terms, prepend=-1))[0]
+        return terms[first], np.add.reduceat(found & 0xFFFFFFFF, first).astype(np.float64) if len(first) else np.zeros(0)
 
 
 @dataclass
@@ -170,7 +199,7 @@ class Index:
         rare = np.nonzero(~is_common)[0]
         rare = rare[np.lexsort((rows[rare], self.terms[rare]))]
         starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=self.size))])
-        return common, dense, dense.max(axis=2), starts, rows[rare].astype(np.int32), self.weights[rare]
+        return common, dense, dense.max(axis=2), starts, rows[rare], self.weights[rare]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (terms, weights of unit length) the k largest (cosine, example), exactly; only examples that share a term."""
@@ -307,7 +336,7 @@ def document_frequencies(docs: DataFrame, shared, size: int, text_col: str) -> t
         for b in batches:
             n += b.num_rows
             for t in b.column("t"):
-                found[counting.distinct(t.as_py())] += 1
+                found[counting.present(t.as_py())] += 1  # once, however often a term repeats
         found[size] = n
         seen = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(found[seen])], names=["term", "n"])

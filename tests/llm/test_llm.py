@@ -657,6 +657,15 @@ def test_counting_terms():
     assert len(count(None)[0]) == len(count("")[0]) == len(count.distinct(None)) == 0
 
 
+def test_words_without_terms_take_no_room():
+    count = toxicity.Counting(["idiot", "^long"])
+    ids, n = count("nothing here is known, but idiot and longer ones and idiots")
+    assert (ids.tolist(), n.tolist()) == ([0, 1], [1, 1]) and count.used == 3
+    found = np.zeros(2)
+    found[count.present("longer longest idiot idiot")] += 1
+    assert found.tolist() == [1, 1]
+
+
 # decontamination
 
 
