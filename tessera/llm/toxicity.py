@@ -3,7 +3,8 @@
 Terms are the words of the lower-cased text (runs of letters and digits) and, marked
 by ^, the first four and five characters of longer words.  The vocabulary is every
 term of the labelled examples that at least two documents hold and at most one in
-``MAX_DF`` (or ``MAX_DF`` of them, in a small corpus); no label chooses among them.  A text's vector has
+``MAX_DF`` (or ``MAX_DF`` of them, in a small corpus); no label chooses among them.
+Terms are found in texts by hashes of 64 bits.  A text's vector has
 tf * ln((n + 2) / (df + 1)) for each of its terms that is in the vocabulary, with
 document frequencies counted over all n documents, and unit length.
 
@@ -34,9 +35,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,12 @@ NEIGHBOURS = 30
 BLOCK, COMMON, MOST_COMMON = 64, 1 / 64, 128
 #: Keeps the logarithm of a vote's odds finite.
 SOFT = 0.02
-#: Texts that are scored together, and words whose terms a worker remembers.
-BATCH, MEMO = 128, 100_000
+#: Texts that are scored together, characters that are hashed together, and buckets of the vocabulary's hashes (a power of 2).
+BATCH, PART, BUCKETS = 128, 1 << 16, 1 << 20
+#: The base of the hashes' polynomials and its inverse modulo 2^64; what marks the hash of a prefix.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+PREFIX = np.uint64(0xA0761D6478BD642F)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -64,77 +68,116 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *["^" + word[:n] for n in (4, 5) if n < len(word)])
 
 
-class Rows(dict):
-    """Rows of a table by pieces; an unknown piece is learned."""
-
-    def __init__(self, learn) -> None:
-        self.learn = learn
-
-    def __missing__(self, piece: str) -> int:
-        row = self[piece] = self.learn(piece)
-        return row
+@cache
+def word_chars() -> np.ndarray:
+    """Whether each code point belongs to words, as WORD has it."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+@cache
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """64 bits of each number, well mixed."""
+    z = numbers.astype(np.uint64)
+    z += np.uint64(0x9E3779B97F4A7C15)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(29)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(32)
+    return z
+
+
+def pieces_of(chars: np.ndarray, inside: np.ndarray):
+    """(code points, whether they are inside words) by pieces of some PART characters, which cut no word."""
+    at = 0
+    while at < len(chars):
+        end = at + PART
+        if end < len(chars) and inside[end - 1] and inside[end]:
+            gaps = np.nonzero(~inside[at:end])[0]
+            after = inside[end:]
+            # back to the last gap, or, where one word fills the piece, on to its end
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end + (int(after.argmin()) if not after.all() else len(after))
+        yield chars[at:end], inside[at:end]
+        at = end
+
+
+def hashes_of(text: str, prefixes: tuple[int, ...] = (4, 5)) -> np.ndarray:
+    """Hashes of the words of a lower-cased text and of their first characters, repeats included: polynomials over the mixed characters, modulo 2^64."""
+    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    forth, back = powers(BASE, 2 * PART), powers(INVERSE, 2 * PART)
+    found = [np.zeros(0, dtype=np.uint64)]
+    for part, inside in pieces_of(chars, word_chars()[chars]):
+        n = len(part)
+        if n > 2 * PART:  # one word
+            whole = np.zeros(1, dtype=np.uint64)
+            for at in range(n - n % PART, -1, -PART):
+                block = part[at : at + PART]
+                whole = whole * forth[PART] + (mixed(block) * forth[: len(block)]).sum(dtype=np.uint64)
+            head = mixed(part[:5]) * forth[:5]
+            found += [whole, np.array([head[:length].sum(dtype=np.uint64) ^ PREFIX for length in prefixes], dtype=np.uint64)]
+            continue
+        edges = np.nonzero(np.diff(inside, prepend=False, append=False))[0]
+        first, last = edges[::2], edges[1::2]
+        upto = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mixed(part) * forth[:n], out=upto[1:])
+        size, base, shift = last - first, upto[first], back[first]
+        found.append((upto[last] - base) * shift)
+        for length in prefixes:
+            longer = size > length
+            found.append((upto[first[longer] + length] - base[longer]) * shift[longer] ^ PREFIX)
+    return np.concatenate(found)
 
 
 class Counting:
     """Counts the vocabulary's terms in texts.
 
-    Texts are cut at white space first.  What stands between is remembered with the
-    terms of its word, in a table of three columns; the few pieces with several words are cut each time.
+    Terms are told apart by hashes of 64 bits, which lie in the order of ``BUCKETS`` buckets, followed by a blank.
+    All words of a text are looked up together, and none of them is held.
     """
 
-    BLANK, SEVERAL = 0, -1
-
     def __init__(self, terms: list[str]) -> None:
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.prefix = {t[1:]: i for i, t in enumerate(terms) if t[0] == "^"}
-        self.forget(MEMO)
-
-    def forget(self, size: int) -> None:
-        self.row = Rows(self.learn)
-        self.table = np.full((size, 3), -1, dtype=np.int64)
-        self.used = 1  # the first row is blank
-        self.new: list[tuple[int, int, int]] = []
-
-    def learn(self, piece: str) -> int:
-        """The row of a piece; what it is to hold is added to ``new``."""
-        if piece.isalnum():  # what WORD matches in full
-            word = piece
-        else:
-            words = WORD.findall(piece)
-            if len(words) > 1:
-                return self.SEVERAL
-            word = words[0] if words else ""
-        size = len(word)
-        prefix = self.prefix.get
-        ids = (self.number.get(word, -1), prefix(word[:4], -1) if size > 4 else -1, prefix(word[:5], -1) if size > 5 else -1)
-        if ids == (-1, -1, -1):
-            return self.BLANK
-        self.new.append(ids)
-        self.used += 1
-        return self.used - 1
-
-    def rows(self, counted: dict[str, int]) -> np.ndarray:
-        """(piece, column) -> term number or -1; pieces of several words are replaced, in ``counted``, by these."""
-        for again in (False, True):
-            if len(self.row) + 1 + len(counted) > len(self.table):
-                self.forget(max(MEMO, len(counted) + 1))
-            rows = np.fromiter(map(self.row.__getitem__, counted), dtype=np.int64, count=len(counted))
-            if self.new:
-                self.table[self.used - len(self.new) : self.used] = self.new
-                self.new.clear()
-            several = rows == self.SEVERAL
-            if again or not several.any():
-                return self.table[rows]
-            pieces = list(counted)
-            for at in np.nonzero(several)[0].tolist():
-                n = counted.pop(pieces[at])
-                for word in WORD.findall(pieces[at]):
-                    counted[word] = counted.get(word, 0) + n
+        self.names = terms
+        marked = np.fromiter((t[0] == "^" for t in terms), dtype=bool, count=len(terms))
+        hashes = np.empty(len(terms), dtype=np.uint64)
+        hashes[~marked] = hashes_of("\n".join(t for t in terms if t[0] != "^"), ())
+        hashes[marked] = hashes_of("\n".join(t[1:] for t in terms if t[0] == "^"), ()) ^ PREFIX
+        bucket = self.bucket(hashes)
+        self.order = np.argsort(bucket, kind="stable")
+        self.hashes = np.append(hashes[self.order], np.uint64(0))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))]).astype(np.int32)
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.names)}
+
+    @property
+    def used(self) -> int:
+        """Hashes held, with the blank."""
+        return len(self.hashes)
+
+    @staticmethod
+    def bucket(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
     def present(self, text: str | None) -> np.ndarray:
         """Term numbers, which may repeat."""
-        ids = self.rows(dict.fromkeys(text.lower().split(), 1) if text else {}).ravel()
-        return ids[ids >= 0]
+        hashes = hashes_of(text.lower() if text else "")
+        bucket = self.bucket(hashes)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        found = []
+        while len(at):
+            same = (self.hashes[at] == hashes) & (at < end)
+            found.append(at[same])
+            at = at + 1
+            more = np.nonzero(~same & (at < end))[0]
+            hashes, at, end = hashes[more], at[more], end[more]
+        return self.order[np.concatenate(found)] if found else np.zeros(0, dtype=np.int64)
 
     def distinct(self, text: str | None) -> np.ndarray:
         """Term numbers in order."""
@@ -142,15 +185,10 @@ class Counting:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers in order, counts)."""
-        counted = Counter(text.lower().split() if text else ())
-        ids = self.rows(counted)
-        known = ids >= 0
-        counts = np.broadcast_to(np.fromiter(counted.values(), dtype=np.int64, count=len(counted))[:, None], ids.shape)[known]
-        found = ids[known] << 32 | counts  # sorted together: no text has 2^32 words
-        found.sort()
-        terms = found >> 32
+        terms = self.present(text)
+        terms.sort()
         first = np.nonzero(np.diff(terms, prepend=-1))[0]
-        return terms[first], np.add.reduceat(found & 0xFFFFFFFF, first).astype(np.float64) if len(first) else np.zeros(0)
+        return terms[first], np.diff(first, append=len(terms)).astype(np.float64)
 
 
 @dataclass

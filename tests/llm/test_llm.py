@@ -666,6 +666,27 @@ def test_words_without_terms_take_no_room():
     assert found.tolist() == [1, 1]
 
 
+@pytest.mark.parametrize("part", [7, 64, 1 << 16])
+def test_counting_by_hashes_equals_brute_force(monkeypatch, part):
+    """Words at the borders of the pieces that are hashed together, longer than these, and outside ASCII."""
+    monkeypatch.setattr(toxicity, "PART", part)
+    pick = random.Random(3)
+    terms = ["idiot", "^idio", "^idiot", "a", "^long", "é", "b1", "z" * 70, "^zzzzz", "ß", "^straß", "i", "\U0001d7d8"]
+    texts = ["z" * 70 + " b1", "x" * 1000, "idiots " * 300 + "z" * 500 + " a", "İstanbul STRASSE straße idioṫ", "longer" * 40, "é" * 9 + "-a_b1"]
+    texts += ["".join(pick.choice("aidotlongerstréß _-1zİ\U0001d7d8\n") for _ in range(pick.randrange(400))) for _ in range(60)]
+    count = toxicity.Counting(terms)
+    for text in texts:
+        want = Counter(t for w in toxicity.WORD.findall(text.lower()) for t in toxicity.terms_of(w) if t in terms)
+        ids, n = count(text)
+        assert {terms[i]: int(x) for i, x in zip(ids, n, strict=True)} == want
+
+
+def test_long_vocabularies_are_told_apart():
+    terms = sorted({t for i in range(50_000) for t in toxicity.terms_of(f"w{i * 7919}")})
+    count = toxicity.Counting(terms)
+    assert count(" ".join(t for t in terms if t[0] != "^"))[0].tolist() == list(range(len(terms)))
+
+
 # decontamination
 
 
