@@ -1,6 +1,7 @@
 import random
 
 from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +142,11 @@ def test_keys_do_not_stay_on_disk(spark):
     left = staging._STAGED[spark.sparkContext.applicationId][1][began:]
     assert not any({"keys", "s", "s0"} & set(spark.read.parquet(path).columns) for path in left)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+
+
+def test_staged_tables_start_few_processes(spark):
+    """Each checksum file costs a process, which has the executor's memory until it runs its own program."""
+    table = staging.staged(spark.range(8).repartition(4))
+    files = list(Path(staging._PATHS[table].removeprefix("file:")).iterdir())
+    assert any(f.suffix == ".parquet" for f in files) and not [f for f in files if f.suffix == ".crc"]
+    assert sorted(r.id for r in table.collect()) == list(range(8))
