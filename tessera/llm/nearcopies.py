@@ -171,7 +171,7 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_rows(batches):
-    """From rows (key, node, s0, s1) sorted by key and node: candidate pairs (kind 0: a, b) and the rows of large buckets (kind 1: a is the node).
+    """From rows (key, node, s0, s1) sorted by key and node: candidate pairs (kind 0: a, b) and the rows of large buckets (kind 1: a is the node, b the bucket's first).
 
     A bucket of at most FEW texts gives all its pairs whose sketches are near, a larger one
     those with its first text; rows without sketches are all near.  What is held between batches is at most FEW rows, or the first one of a large bucket.
@@ -202,7 +202,7 @@ def bucket_rows(batches):
         left, right = node[left[near]], node[right[near]]
         kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(left), len(of_big)])
         none = np.zeros(len(left), dtype=np.int64)
-        columns = [np.concatenate([np.minimum(left, right), node[of_big]]), np.concatenate([np.maximum(left, right), node[of_big]])]
+        columns = [np.concatenate([np.minimum(left, right), node[of_big]]), np.concatenate([np.maximum(left, right), node[first[run[of_big]]]])]
         columns += [np.concatenate([none, x[of_big]]) for x in (key, rows[2], rows[3])]
         return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "key", "s0", "s1"])
 
@@ -265,10 +265,9 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def family_links(texts: DataFrame, members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links between texts of the same large bucket (key, node) that are not of one class yet; None if there are none."""
+    """Links between texts of the same large bucket (key, node, lo: its first) that are not of one class yet; None if there are none."""
     large = staged(members.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    first = large.groupBy("key").agg(F.min("node").alias("lo"))
-    rest = large.join(first, "key").where("node <> lo")  # the first has met all
+    rest = large.where("node <> lo")  # the first has met all
     left = staged(rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("b")).where("r0 <> r1").select("key", "b"))
     if left.isEmpty():
         return None
@@ -330,7 +329,7 @@ def similar_classes(texts: DataFrame, n: int) -> DataFrame:
     apart = pairs.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = staged(links.unionByName(verified(apart, held)))
     classes = components(links)
-    more = family_links(texts, found.where("kind = 1").select("key", F.col("a").alias("node")).distinct(), sketches, classes)
+    more = family_links(texts, found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").alias("lo")).distinct(), sketches, classes)
     if more is not None:
         classes = components(staged(links.unionByName(more)))
     discard(found, sketches, pairs, held, links)

@@ -150,3 +150,12 @@ def test_staged_tables_start_few_processes(spark):
     files = list(Path(staging._PATHS[table].removeprefix("file:")).iterdir())
     assert any(f.suffix == ".parquet" for f in files) and not [f for f in files if f.suffix == ".crc"]
     assert sorted(r.id for r in table.collect()) == list(range(8))
+
+
+@pytest.mark.parametrize("size", [5, 64])
+def test_rows_of_large_buckets_name_the_first(size):
+    """So the rows need not meet a table of the first ones."""
+    rows = [(k, n, 0, 0) for k in range(4) for n in range(10 * k, 10 * k + (30 if k % 2 else 3))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + size], strict=True)], names=["key", "node", "s0", "s1"]) for at in range(0, len(rows), size)]
+    found = {(r["key"], r["a"], r["b"]) for b in nearcopies.bucket_rows(batches) for r in b.to_pylist() if r["kind"]}
+    assert found == {(k, n, 10 * k) for k, n, _, _ in rows if k % 2}
