@@ -16,14 +16,15 @@ small in large tables too, and one layout serves every size: whether two texts m
 Measured on pairs among 25,000 distinct texts of the 0.1 GB tables (2,191 of similarity 0.8 or more):
 24 keys of each of eight triples find 0.998 of those from 0.80 to 0.82 and 0.9995 of all.
 
-Links.  Rows (key, text) are dealt once, by key, and streamed: in a bucket of at
-most ``FEW`` texts all pairs are candidates, in a larger one every text is paired with the first.
-Distinct pairs whose 128-bit sketches differ in more than ``SKETCH`` bits end there, so texts that share a key by chance
-are not compared. Candidates are verified on the whole shingle sets, each text with the least of its
-candidates first, then what this has not joined.  Where a larger bucket is not one class then, its
-texts are compared in full: buckets that share texts form a family, a family is cut into
+Links.  Rows (key, text) are dealt once, by key, and streamed; only the keys that several texts have are dealt again.
+Pairs whose 128-bit sketches differ in more than ``SKETCH`` bits are no candidates, so texts that share a key by chance
+are not compared.  Candidates are verified on the whole shingle sets.  First come ``ROUNDS`` in which each text
+meets one other, of the first texts of its buckets the one nearest by sketch; every round takes another order and
+knows the classes of those before, so a group of n copies costs a few times n pairs, not those of all its keys.
+Where a bucket is not one class then, its texts are compared in full.  Those of at most ``FEW`` texts give all their pairs
+across classes.  Larger ones that share texts form a family, a family is cut into
 blocks, and each pair of blocks is compared in one task that emits links only.  No candidate
-is dropped, no pairs of a whole group are made as rows, and a task holds a few rows of a bucket, however large.
+is dropped, no pairs of a whole group are made as rows, and joins have rows of texts or candidate pairs, not of keys.
 
 Whole texts move only if they are compared or may go: a bitmap of ``MARKS`` bits, whatever the
 table's size, tells the others apart where they lie, and the exact join decides on what it lets through.
@@ -39,13 +40,13 @@ Defined results
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.names import fresh
@@ -65,6 +66,8 @@ SKETCH = 50
 MARKS = 1 << 25
 #: Texts of a bucket of which all pairs are candidates, and texts of a block of a family.
 FEW, BLOCK = 8, 256
+#: Times that each text meets one other before buckets are compared in full.
+ROUNDS = 2
 #: Texts whose fingerprints are decoded together, and texts that a task remembers so as not to repeat them.
 BATCH, SEEN = 16, 200_000
 
@@ -170,35 +173,38 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
 
 
-def bucket_rows(batches):
+def bucket_rows(batches, few: int | None = None):
     """From rows (key, node, s0, s1) sorted by key and node: candidate pairs (kind 0: a, b) and the rows of large buckets (kind 1: a is the node, b the bucket's first).
 
-    A bucket of at most FEW texts gives all its pairs whose sketches are near, a larger one
-    those with its first text; rows without sketches are all near.  What is held between batches is at most FEW rows, or the first one of a large bucket.
+    A bucket of at most ``few`` texts (FEW) gives all its pairs whose sketches are near, a larger one
+    those with its first text; rows without sketches are all near.  Rows may also have a root and a family: texts that share one are no candidates.
+    With ``few`` 1 only the rows of buckets of several texts come.  What is held between batches is at most ``few`` rows, or the first one of a large bucket.
     """
+    few = few or FEW
     held, large = None, False
 
     def pairs(rows: np.ndarray, going_on: bool, open_end: bool) -> pa.RecordBatch:
-        """``rows`` (4, n) of whole buckets; the first may go on from before, and the last, if large, may go on."""
-        key, node = rows[0], rows[1]
+        """``rows`` (6, n) of whole buckets; the first may go on from before, and the last, if large, may go on."""
+        key, node, root, family = rows[0], rows[1], rows[4], rows[5]
         start = np.concatenate([[True], key[1:] != key[:-1]])
         run = np.cumsum(start) - 1
         size = np.bincount(run)
         first = np.nonzero(start)[0]
-        big = size > FEW
+        big = size > few
         big[0] |= going_on
         big[-1] |= open_end
-        left, right = [], []
-        for step in range(1, FEW):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, few):
             i = np.nonzero((key[:-step] == key[step:]) & ~big[run[:-step]])[0] if len(key) > step else np.zeros(0, np.int64)
             left.append(i)
             right.append(i + step)
         of_big = np.nonzero(big[run])[0]
-        left.append(first[run[of_big]])
-        right.append(of_big)
+        if few > 1:
+            left.append(first[run[of_big]])
+            right.append(of_big)
         left, right = np.concatenate(left), np.concatenate(right)
         d = differing(rows[2][left], rows[2][right]) + differing(rows[3][left], rows[3][right])
-        near = (d <= SKETCH) & (node[left] != node[right])
+        near = (d <= SKETCH) & (node[left] != node[right]) & (root[left] != root[right]) & (family[left] != family[right])
         left, right = node[left[near]], node[right[near]]
         kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(left), len(of_big)])
         none = np.zeros(len(left), dtype=np.int64)
@@ -207,14 +213,15 @@ def bucket_rows(batches):
         return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "key", "s0", "s1"])
 
     for batch in batches:
-        rows = np.stack([np.asarray(batch.column(c)) if c in batch.schema.names else np.zeros(batch.num_rows, np.int64) for c in ("key", "node", "s0", "s1")])
+        missing = {c: np.zeros(batch.num_rows, np.int64) for c in ("s0", "s1")} | dict.fromkeys(("root", "family"), batch.column("node"))
+        rows = np.stack([np.asarray(batch.column(c) if c in batch.schema.names else missing[c]) for c in ("key", "node", "s0", "s1", "root", "family")])
         rows = rows if held is None else np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
         fresh_row = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])  # repeated texts may repeat rows
         rows = rows[:, fresh_row]
         last = int(np.searchsorted(rows[0], rows[0, -1]))
-        open_end = rows.shape[1] - last > FEW or (large and last == 0)
+        open_end = rows.shape[1] - last > few or (large and last == 0)
         done = rows if open_end else rows[:, :last]
         if done.shape[1]:
             yield pairs(done, large, open_end)
@@ -247,16 +254,11 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    wanted = by_marks(texts, "node", marks(nodes), "left_semi").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    # copies of a text end where they lie, before anything is dealt by node
+    wanted = by_marks(texts, "node", marks(nodes), "left_semi").groupBy("node").agg(F.first("t").alias("t")).join(nodes, "node", "left_semi")
     return staged(wanted.mapInArrow(sets, "node long, s array<long>"))
 
 
-def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in at most SKETCH bits."""
-    both = pairs.join(sketches.toDF("a", "a0", "a1"), "a").join(sketches.toDF("b", "b0", "b1"), "b")
-    return both.where(F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= SKETCH).select("a", "b")
-
-
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -264,22 +266,75 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.where(overlap >= LEAST * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
 
-def family_links(texts: DataFrame, members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links between texts of the same large bucket (key, node, lo: its first) that are not of one class yet; None if there are none."""
-    large = staged(members.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    rest = large.where("node <> lo")  # the first has met all
-    left = staged(rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("b")).where("r0 <> r1").select("key", "b"))
-    if left.isEmpty():
+def bucketed(rows: DataFrame, few: int) -> DataFrame:
+    """:func:`bucket_rows` of ``rows``, which are dealt by key."""
+
+    def emit(batches):
+        return bucket_rows(batches, few)
+
+    return rows.sortWithinPartitions("key", "node").mapInArrow(emit, "kind int, a long, b long, key long, s0 long, s1 long").select("kind", "a", "b", "key")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(node) of the distinct texts of ``rows``, which are dealt by key, that are in a near pair or a large bucket."""
+    few = FEW
+
+    def emit(batches):
+        for found in bucket_rows(batches, few):
+            kind, a, b = (np.asarray(found.column(c)) for c in ("kind", "a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b[kind == 0]])))], names=["node"])
+
+    return rows.sortWithinPartitions("key", "node").mapInArrow(emit, "node long").distinct()
+
+
+def dealt(meeting: DataFrame) -> DataFrame:
+    """A row for each of the ``keys`` of a text, all of a key in one place."""
+    return meeting.withColumn("key", F.explode("keys")).drop("keys").repartition("key")
+
+
+def rooted(meeting: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``meeting`` (node, keys, s0, s1) with the root of each text's class, itself if it has none yet."""
+    if classes is None:
+        return meeting.withColumn("root", F.col("node"))
+    return meeting.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def leads(meeting: DataFrame, classes: DataFrame | None, salt: int) -> DataFrame:
+    """(a, b): each text with that of its buckets' first texts, in the order of ``salt``, that is nearest by sketch, not of its class and a candidate."""
+    order = F.struct(F.xxhash64("node", F.lit(salt)).alias("at"), "node", "root", "s0", "s1")
+    met = dealt(rooted(meeting, classes)).withColumn("lead", F.min(order).over(Window.partitionBy("key"))).where("root <> lead.root")
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("lead.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("lead.s1")))
+    found = met.select("node", F.struct(differ.alias("d"), F.col("lead.node").alias("lead")).alias("met")).where(F.col("met.d") <= SKETCH)
+    found = found.groupBy("node").agg(F.min("met").alias("met")).select("node", F.col("met.lead").alias("lead"))
+    return found.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that are not one class, with the number of texts (n) and the least (lo)."""
+    bucket = Window.partitionBy("key")
+    rows = dealt(rows).withColumns({"r0": F.min("root").over(bucket), "r1": F.max("root").over(bucket), "n": F.count("*").over(bucket), "lo": F.min("node").over(bucket)})
+    return rows.where("r0 <> r1").drop("r0", "r1")
+
+
+def families(rows: DataFrame) -> DataFrame | None:
+    """Staged (node, family) of the texts that large open buckets connect; None if there are none.
+
+    A text names the least text of each of its buckets, and the least of these stands for them, so no row of a bucket is joined.
+    """
+    large = staged(open_rows(rows).where(F.col("n") > FEW).groupBy("node").agg(F.min("lo").alias("b"), F.collect_set("lo").alias("lows")))
+    if large.isEmpty():
         return None
-    rest = staged(rest.join(left, "key").select("node", "root", "b"))
-    families = components(staged(rest.select(F.col("node").alias("a"), "b").where("a <> b").distinct())).withColumnRenamed("root", "family")
-    members = staged(rest.select("node", "root").distinct().join(families, "node").join(sketches, "node"))
+    edges = large.select(F.col("node").alias("a"), "b").unionByName(large.select(F.explode("lows").alias("a"), "b")).where("a <> b").distinct()
+    return staged(components(staged(edges)).withColumnRenamed("root", "family"))
+
+
+def family_links(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Links between the texts of a family (node, family, root, s0, s1) that are not of one class yet."""
     members = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "family")
     own = F.pmod(F.xxhash64("node"), F.col("m").cast("long")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    held = shingle_sets(texts, rest.select("node").distinct())
-    dealt = members.join(held, "node").select("family", "i", "j", "own", "node", "root", "s0", "s1", "s")
+    rows = members.join(held, "node").select("family", "i", "j", "own", "node", "root", "s0", "s1", "s")
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.sort_by("node")
@@ -309,30 +364,35 @@ def family_links(texts: DataFrame, members: DataFrame, sketches: DataFrame, clas
                         right.append(int(node[y]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def similar_classes(texts: DataFrame, n: int) -> DataFrame:
     """(node, root) for the nodes of ``texts`` (node, t), ``n`` distinct ones, that have near copies: ``root`` is the least node of the class."""
     groups, per_group = layout(n)
     prints = staged(fingerprints(texts, groups, per_group))
-    keyed = prints.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    found = staged(keyed.mapInArrow(bucket_rows, "kind int, a long, b long, key long, s0 long, s1 long").select("kind", "a", "b", "key"))
-    sketches = staged(prints.select("node", "s0", "s1").distinct())
+    several = bucketed(prints.select(F.explode("keys").alias("key"), "node").repartition("key"), 1)
+    several = several.groupBy(F.col("a").alias("node")).agg(F.collect_set("key").alias("keys"))
+    sharing = staged(several.join(prints.groupBy("node").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")), "node"))
     discard(prints)
-    pairs = staged(near(found.where("kind = 0").select("a", "b").distinct(), sketches))
-    held = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    # every text meets the least of its candidates first; pairs that this joins already need no comparison
-    links = staged(verified(pairs.groupBy("b").agg(F.min("a").alias("a")), held))
-    classes = staged(components(links))
-    own = [classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-    apart = pairs.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = staged(links.unionByName(verified(apart, held)))
-    classes = components(links)
-    more = family_links(texts, found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").alias("lo")).distinct(), sketches, classes)
-    if more is not None:
-        classes = components(staged(links.unionByName(more)))
-    discard(found, sketches, pairs, held, links)
+    nodes = staged(candidates(dealt(sharing)))
+    meeting = staged(sharing.join(nodes, "node", "left_semi"))  # without those that only meet by chance
+    held = shingle_sets(texts, nodes)
+    links, classes = [], None
+    for salt in range(ROUNDS):
+        links.append(staged(verified(leads(meeting, classes, salt), held)))
+        classes = staged(components(reduce(DataFrame.unionByName, links)))
+    rows = rooted(meeting, classes)
+    if (family := families(rows)) is not None:
+        links.append(staged(family_links(rows.drop("keys").join(family, "node"), held)))
+        rows = rows.join(family, "node", "left")
+    else:
+        rows = rows.withColumn("family", F.lit(None).cast("long"))
+    rows = rows.withColumn("family", F.coalesce("family", "node"))
+    pairs = bucketed(open_rows(rows).where(F.col("n") <= FEW).drop("n", "lo"), FEW).select("a", "b").distinct()
+    links.append(staged(verified(pairs, held)))
+    classes = components(reduce(DataFrame.unionByName, links))
+    discard(sharing, nodes, meeting, held, *links)
     return classes
 
 

@@ -159,3 +159,47 @@ def test_rows_of_large_buckets_name_the_first(size):
     batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + size], strict=True)], names=["key", "node", "s0", "s1"]) for at in range(0, len(rows), size)]
     found = {(r["key"], r["a"], r["b"]) for b in nearcopies.bucket_rows(batches) for r in b.to_pylist() if r["kind"]}
     assert found == {(k, n, 10 * k) for k, n, _, _ in rows if k % 2}
+
+
+def most_joined(spark, run):
+    """The most rows that one join makes while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    began = max((x.executionId() for x in (lambda e: map(e.apply, range(e.size())))(store.executionsList())), default=-1)
+    run()
+    bus.waitUntilEmpty()
+    most = 0
+    runs = store.executionsList()
+    for number in (runs.apply(i).executionId() for i in range(runs.size())):
+        if number > began:
+            values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if "Join" in node.name():
+                    metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                    rows = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                    most = max([most, *(int(v.get().replace(",", "")) for v in rows if v.isDefined())])
+    return most
+
+
+def test_joins_of_a_large_group_have_few_rows_a_text(spark):
+    """A text has 192 keys, and a group of copies meets on nearly all of them; unlike pairs of the group stay to be told apart."""
+    pick = random.Random(9)
+    base = [f"w{pick.randrange(3000)}" for _ in range(150)]
+    texts = sorted({" ".join(edited(pick, base, pick.choice([1, 2, 3, 5, 8]))) for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("node"), "t")
+    found = {}
+    most = most_joined(spark, lambda: found.update({r.node: r.root for r in nearcopies.similar_classes(df, len(texts)).collect()}))
+    assert 0 < most <= 12 * len(texts)
+    node = {r.t: r.node for r in df.collect()}
+    got = [found.get(node[t], node[t]) for t in texts]
+    want = brute_classes(texts)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_texts_of_one_class_or_family_are_no_candidates():
+    rows = {"key": [1] * 4, "node": [1, 2, 3, 4], "s0": [0] * 4, "s1": [0] * 4, "root": [1, 1, 3, 4], "family": [1, 2, 7, 7]}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in rows.items()})
+    found = {(r["a"], r["b"]) for b in nearcopies.bucket_rows([batch]) for r in b.to_pylist()}
+    assert found == {(1, 3), (1, 4), (2, 3), (2, 4)}
+    assert [r["kind"] for b in nearcopies.bucket_rows([batch], 1) for r in b.to_pylist()] == [1] * 4
