@@ -35,14 +35,21 @@ def counters(raw: DataFrame) -> DataFrame:
     return with_group(raw).agg(F.count("*").alias("total"), F.count_if(~g).alias("no_group"), F.count_if(g & ~long).alias("short_abstract"), F.count_if(g & long & ~young).alias("too_old"), F.count_if(g & long & young).alias("kept"))
 
 
+def long_enough(records: DataFrame) -> DataFrame:
+    """Records with abstract_clean, of more than LEAST_CLEAN characters; ids may repeat, so each record is judged by its own.
+
+    The text comes out of a generator, below which no filter is pushed: it is cleaned once, not for the filter and again for the result.
+    """
+    return records.withColumn("abstract_clean", F.explode(F.array(clean_text(F.col("abstract"))))).where(F.length("abstract_clean") > LEAST_CLEAN)
+
+
 def clean_corpus(records: DataFrame) -> DataFrame:
     """Cleaned papers with more than LEAST_CLEAN characters of abstract."""
-    out = records.select(
-        F.col("id").alias("paper_id"), "title", clean_text(F.col("title")).alias("title_clean"), clean_text(F.col("abstract")).alias("abstract_clean"),
-        split_authors(F.col("authors")).alias("authors_list"), "year", "journal_ref",
-    )
+    out = long_enough(records).select(
+        F.col("id").alias("paper_id"), "title", clean_text(F.col("title")).alias("title_clean"), "abstract_clean", split_authors(F.col("authors")).alias("authors_list"), "year", "journal_ref"
+    )
     text = F.concat("title_clean", F.lit(" . "), "title_clean", F.lit(" . "), "abstract_clean")
-    return out.where(F.length("abstract_clean") > LEAST_CLEAN).withColumn("text_for_embedding", text)
+    return out.withColumn("text_for_embedding", text)
 
 
 def labels(records: DataFrame) -> DataFrame:
@@ -53,5 +60,4 @@ def labels(records: DataFrame) -> DataFrame:
 def timeseries_corpus(raw: DataFrame) -> DataFrame:
     """Uncapped cleaned papers of the years in scope."""
     rows = with_group(raw).where(F.col("category_group").isNotNull() & F.col("year").between(FIRST_YEAR, LAST_YEAR) & (F.col("n_abstract") >= LEAST_ABSTRACT))
-    rows = rows.withColumns({"abstract_clean": clean_text(F.col("abstract")), "category_group_name": group_name(F.col("category_group")), "is_partial_year": F.col("year").isin(*PARTIAL_YEARS)})
-    return rows.where(F.length("abstract_clean") > LEAST_CLEAN)
+    return long_enough(rows).withColumns({"category_group_name": group_name(F.col("category_group")), "is_partial_year": F.col("year").isin(*PARTIAL_YEARS)})

@@ -158,8 +158,7 @@ def clean_corpus(spark, d):
 
 
 def label_corpus(spark, d):
-    base = I.eligible(raw(spark, d))
-    return I.labels(base).join(I.clean_corpus(base).select("paper_id"), "paper_id", "left_semi")
+    return I.labels(I.long_enough(I.eligible(raw(spark, d))))
 
 
 def timeseries_corpus(spark, d):

@@ -30,6 +30,25 @@ def test_clean_text(spark, text, clean):
     assert one(spark, X.clean_text(F.lit(text).cast("string"))) == clean
 
 
+def test_clean_text_runs_the_steps_of_the_contract(spark):
+    """The steps as they run give what CLEANING gives one after the other, on texts of characters that it names and on odd ones."""
+    pick = np.random.default_rng(3)
+    letters = ["a", "B", "7", ".", "@", "@", "$", "\\", "{", "}", "[", "]", "(", ")", " ", " ", "\n", "\x0b", "\x85", "\u2028", "\u00a0", "-", "/", ":", "`", "_", "\u00e9", "\u0130", "\u212a", "\U0001f600", "http://", "arXiv:"]
+    df = spark.createDataFrame([("".join(pick.choice(letters, pick.integers(1, 40))),) for _ in range(3000)], "t string").coalesce(1)
+    old = F.col("t")
+    for pattern, to in X.CLEANING:
+        old = F.regexp_replace(old, pattern, to)
+    rows = df.select("t", X.clean_text(F.col("t")).alias("new"), F.trim(F.regexp_replace(F.lower(old), r"\s+", " ")).alias("old")).collect()
+    assert [r for r in rows if r.new != r.old] == []
+
+
+def test_labels_judge_each_record_by_its_own_text(spark, tmp_path):
+    """Two records with one id, of which one is too short once it is clean: the other's length does not keep it."""
+    long, short = "word " * 100, "[" + "x" * 450 + "] word"
+    spark.createDataFrame([(7, long, "en"), (14_007, short, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["label_corpus"](spark, str(tmp_path)).count() == 1
+
+
 @pytest.mark.parametrize(("categories", "group", "profile"), [("cs.LG", "cs", "cs"), ("math-ph x", "math", "math-ph"), ("hep-th", "hep", "hep-th"), ("q-bio.NC", None, "q-bio"), ("", None, None), (None, None, None)])
 def test_groups(spark, categories, group, profile):
     c = F.lit(categories).cast("string")
