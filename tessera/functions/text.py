@@ -21,6 +21,14 @@ CLEANING = (
     (r"\b\d+(\.\d+)?\b", " "),
     (r"[^a-zA-Z0-9\s.,:;\-]", " "),
 )
+#: The same steps as they run, each with a mark that a text without a match may lack, so that most texts skip most steps. A word with an
+#: address is met at its start only, a number at a digit; the last step takes white space with the odd characters, by ranges of what goes
+#: (a negated class is some five times slower), and leaves single spaces alone.
+FASTER = {
+    r"\S+@\S+\.\S+": r"(?<!\S)\S+@\S+\.\S+", r"\b\d+(\.\d+)?\b": r"(?=\d)\b\d+(\.\d+)?\b",
+    r"[^a-zA-Z0-9\s.,:;\-]": r"[\x00-\x1f!-+/<-@\[-`{-\x{10ffff}][\x00-+/<-@\[-`{-\x{10ffff}]*| [\x00-+/<-@\[-`{-\x{10ffff}]+",
+}
+MARKS = ("$$", "\\[", "$", "\\", "\\", "http", ":", "@", "{", "[", "(", "", "")
 LATEX = r"\$|\\\w+|\\\["
 
 
@@ -38,12 +46,19 @@ def stop_words() -> list[str]:
     return STOP_WORDS.split()
 
 
+def replaced(text: Column, pattern: str, to: str, mark: str) -> Column:
+    """``text`` with the matches of a pattern replaced; it is searched only if it holds the mark."""
+    if not mark:
+        return F.regexp_replace(text, pattern, to)
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, to)).otherwise(t))[0]  # in an array of one, the text is made once and read twice
+
+
 def clean_text(text: Column) -> Column:
     """Markup, links, numbers and odd characters replaced by single spaces; lower case; null gives ''."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in CLEANING:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
+    for (pattern, to), mark in zip(CLEANING, MARKS, strict=True):
+        out = replaced(out, FASTER.get(pattern, pattern), to, mark)
+    return F.trim(F.lower(out))
 
 
 def has_latex(text: Column) -> Column:
