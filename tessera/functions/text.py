@@ -72,7 +72,7 @@ def word_count(text: Column) -> Column:
 
 def tokens(text: Column, stop: list[str]) -> Column:
     """Lower-case words of two or more letters, digits or _, without stop words, in order."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w\w+"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 

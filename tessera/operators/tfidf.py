@@ -1,7 +1,7 @@
 """TF-IDF with smoothed idf and unit length, as long tables (doc, term, tf, weight).
 
-Texts are read and cut once: :func:`term_rows` stages the sorted words of each document and counts them
-inside its row, by array functions.  Document frequencies are summed in each
+Texts are read and cut once: :func:`term_rows` counts the terms of each document inside its row, batch by batch,
+and stages them.  Document frequencies are summed in each
 partition before they are shuffled, the vocabulary is bounded and broadcast after a count, and lengths
 are taken where a document's terms lie together, so no table of all postings is ever shuffled.
 """
@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_keyword, ngrams, stop_words, tokens
+from tessera.functions.text import clean_keyword, stop_words, tokens
 from tessera.plans.staging import join_small, small, staged
 
 
@@ -32,18 +35,39 @@ class TfidfSpec:
 BROADCAST_ROWS = 200_000
 
 
-def term_rows(docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
-    """(*by, doc, terms) from (*by, doc, text): ``terms`` has a struct (term, tf) for each term of the document.
+#: Documents whose terms are counted at once.
+AT_ONCE = 256
 
-    The sorted words are staged, so that no lambda below evaluates the cleaning or the sorting again.
-    """
+
+def term_rows(docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:
+    """(*by, doc, terms) from (*by, doc, text): ``terms`` has a struct (term, tf) for each term of the document, and is staged."""
     words = docs.select(*by, "doc", tokens(F.col("text"), spec.stop).alias("_words"))
-    line = staged(words.select(*by, "doc", F.sort_array(ngrams(F.col("_words"), spec.most)).alias("_all")))
-    places = F.when(F.size("_all") > 0, F.sequence(F.lit(0), F.size("_all") - 1)).otherwise(F.array().cast("array<int>"))
-    runs = line.select(*by, "doc", "_all", F.filter(places, lambda i: (i == 0) | (F.get("_all", i) != F.get("_all", i - 1))).alias("_at"))
-    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_all")))
-    counted = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_all", a).alias("term"), (b - a).cast("long").alias("tf")))
-    return runs.select(*by, "doc", F.filter(counted, lambda x: x["term"].isNotNull()).alias("terms"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name != "_words")
+    most = spec.most
+
+    def scan(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], counted(part.columns[-1], most)], names=[*part.schema.names[:-1], "terms"])
+
+    return staged(words.mapInArrow(scan, f"{kinds}, terms array<struct<term string, tf bigint>>"))
+
+
+def counted(words: pa.Array, most: int) -> pa.Array:
+    """For each list of words a list of structs (term, tf): its words and their sequences of up to ``most``, each once, counted by sorting codes."""
+    rows, flat = len(words), words.flatten()
+    owner = np.repeat(np.arange(rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    terms, owners = [flat], [owner]
+    for n in range(2, most + 1):
+        at = np.nonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])[0]
+        terms.append(pc.binary_join_element_wise(*[flat.take(pa.array(at + i)) for i in range(n)], " "))
+        owners.append(owner[at])
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    pairs, tf = np.unique(np.concatenate(owners) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    found = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(tf, pa.int64())], names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // size, np.arange(rows + 1)), pa.int32()), found)
 
 
 def vocabulary(rows: DataFrame, docs: DataFrame, spec: TfidfSpec, by: list[str]) -> DataFrame:

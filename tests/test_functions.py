@@ -118,6 +118,18 @@ def test_tfidf_rows_have_unit_length(spark):
     assert {r.term for r in found.where("doc = 2").collect()} == {"fish", "two", "fish two", "two fish"}
 
 
+def test_terms_are_counted_as_by_hand():
+    import pyarrow as pa
+    from collections import Counter
+
+    words = [["a", "b", "a", "b"], [], ["b"], ["a", "a", "a"], ["x y", "x"]]
+    lists = pa.array([["no"], *words, ["no", "no"]], pa.list_(pa.string())).slice(1, len(words))
+    for most in (1, 2, 3):
+        want = [Counter(" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1)) for w in words]
+        assert [{t["term"]: t["tf"] for t in row} for row in tfidf.counted(lists, most).to_pylist()] == want
+    assert tfidf.counted(lists.slice(0, 0), 2).to_pylist() == [] and tfidf.counted(lists.slice(1, 1), 2).to_pylist() == [[]]
+
+
 def test_shares_sum_to_one_and_grid_fills(spark):
     d = datetime.date
     rows = [(2020, "a", d(2020, 1, 1), False), (2020, "b", d(2020, 1, 1), False), (2020, "a", d(2020, 4, 1), False), (2020, "a", None, False)]
