@@ -160,6 +160,21 @@ def test_merge_tree_and_layout_keep_clusters_apart():
     assert np.isfinite(layout(x, 10)).all()
 
 
+def test_silhouette_takes_every_row_in_any_number_of_parts(spark, tmp_path, monkeypatch):
+    """More rows than the bound of the sampled form, in several parts and tasks, as one comparison of all gives."""
+    from tessera.operators import pairs
+
+    pick = np.random.default_rng(5)
+    x, label = pick.normal(size=(5_200, 3)), pick.integers(4, size=5_200)
+    spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, size = x.astype("float32").astype(float), np.bincount(label)
+    sums = np.concatenate([np.stack([np.sqrt(((x[i : i + 100, None] - x[label == k][None]) ** 2).sum(2)).sum(1) for k in range(4)], 1) for i in range(0, 5_200, 100)])
+    want = evaluate.silhouettes(sums, label, size).mean()
+    monkeypatch.setattr(pairs, "PART", 2_000)
+    row = registry.QUERIES["silhouette_sample"](spark, str(tmp_path)).first()
+    assert row.n == 5_200 and abs(row.silhouette - want) < 1.1e-5
+
+
 def test_clusterings_return_every_row(spark, tmp_path):
     pick = np.random.default_rng(3)
     rows = [(i, [float(x) for x in pick.normal(3 * (i % 3), 1.0, 8)], i % 3) for i in range(3_100)]
