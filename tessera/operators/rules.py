@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.papers import rule_kind
 from tessera.plans.staging import staged
 
+#: Pairs that a task counts before it hands them on.
+HELD = 500_000
+
 
 def transaction(cluster: Column, words: Column, authors: Column, most_authors: int = 5) -> Column:
     """The items of a paper: its cluster, its keywords, its first authors; each once."""
@@ -17,27 +25,58 @@ def transaction(cluster: Column, words: Column, authors: Column, most_authors: i
 
 
 def frequent_pairs(baskets: DataFrame, support: float) -> DataFrame:
-    """(a, b, n_ab, n_a, n_b, n), a < b: pairs in at least ``support`` of the baskets (txn, items).
+    """(a, b, n_ab, n_a, n_b, n), a < b: pairs in at least ``support`` of the baskets (txn, items), whose items are distinct.
 
-    Items that are not frequent cannot be in a frequent pair and go before pairs are
-    made; pairs are made inside a basket by array functions, and counted with
-    partial sums before the shuffle.
+    Baskets are made once and staged. Items that are not frequent cannot be in a frequent pair and go before pairs are
+    made. The frequent ones, of which there are at most a basket's mean size / ``support``, are known to every
+    executor by their numbers; pairs are numbers too, counted in each task before the shuffle.
     """
-    baskets = baskets.where(F.size("items") >= 2)
-    n = baskets.agg(F.count("*").alias("n"))
-    counts = staged(baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).where(F.col("c") >= F.col("n") * support))
-    kept = baskets.select("txn", F.explode("items").alias("item")).join(counts.select("item"), "item", "left_semi").groupBy("txn").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    each = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = kept.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
+    baskets = staged(baskets.where(F.size("items") >= 2).select("items"))
+    n = baskets.count()
+    counts = staged(baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).withColumn("n", F.lit(n)).where(F.col("c") >= F.col("n") * support))
+    names = sorted(r.item for r in counts.select("item").collect())
+    shared = baskets.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+
+    def scan(batches):
+        held = Counter()
+        for b in batches:
+            keys, n_ab = np.unique(pair_keys(b.column(0), shared.value), return_counts=True)
+            held.update(dict(zip(keys.tolist(), n_ab.tolist(), strict=True)))
+            if len(held) > HELD:
+                yield pairs_of(held, shared.value)
+                held = Counter()
+        yield pairs_of(held, shared.value)
+
+    pairs = baskets.mapInArrow(scan, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
     left = counts.select(F.col("item").alias("a"), F.col("c").alias("n_a"), "n")
     right = counts.select(F.col("item").alias("b"), F.col("c").alias("n_b"))
     return pairs.join(left, "a").join(right, "b").where(F.col("n_ab") >= F.col("n") * support).select("a", "b", "n_ab", "n_a", "n_b", "n")
 
 
+def pair_keys(items: pa.Array, names: pa.Array) -> np.ndarray:
+    """first * len(names) + second for each pair of named items in each list, by their places in ``names``, which is sorted."""
+    owner = np.repeat(np.arange(len(items)), pc.list_value_length(items).to_numpy(zero_copy_only=False))
+    place = pc.fill_null(pc.index_in(items.flatten(), names.cast(items.type.value_type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, place = owner[place >= 0], place[place >= 0]
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    keys, lag = [], 1
+    while len(at := np.nonzero(owner[lag:] == owner[: len(owner) - lag])[0]):
+        keys.append(place[at] * len(names) + place[at + lag])
+        lag += 1
+    return np.concatenate(keys) if keys else np.zeros(0, np.int64)
+
+
+def pairs_of(held: Counter, names: pa.Array) -> pa.RecordBatch:
+    keys = np.fromiter(held.keys(), np.int64, len(held))
+    sides = [names.take(pa.array(side)) for side in (keys // max(len(names), 1), keys % max(len(names), 1))]
+    return pa.RecordBatch.from_arrays([*sides, pa.array(list(held.values()), pa.int64())], names=["a", "b", "n"])
+
+
 def association_rules(pairs: DataFrame, confidence: float) -> DataFrame:
     """(antecedents, consequents, support, confidence, lift, rule_type), both directions of each pair."""
-    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "n")
-    sides = pairs.select("a", "b", "n_ab", "n_a", "n_b", "n").unionByName(turned)
+    side = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"n_{a}").alias("n_a"), F.col(f"n_{b}").alias("n_b"))
+    sides = pairs.select("n_ab", "n", F.inline(F.array(side("a", "b"), side("b", "a"))))  # of one pass: a union would count the pairs twice
     sides = sides.withColumn("confidence", F.col("n_ab") / F.col("n_a")).where(F.col("confidence") >= confidence)
     left, right = F.array("a"), F.array("b")
     return sides.select(

@@ -77,9 +77,9 @@ def query_keywords(spark, d):
 def baskets(spark, d):
     """Orders as papers: a cluster, brands as keywords, suppliers as authors."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.select("l_orderkey", "l_returnflag", "p_brand", F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("s"))
-    grouped = lines.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("c"), F.array_sort(F.collect_set("p_brand")).alias("k"), F.array_sort(F.collect_set("s")).alias("a"))
-    return grouped.select(F.col("l_orderkey").alias("txn"), R.transaction(F.col("c"), F.col("k"), F.col("a")).alias("items"))
+    grouped = lines.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("c"), F.array_sort(F.collect_set("p_brand")).alias("k"), F.collect_set("l_suppkey").alias("s"))
+    names = F.array_sort(F.transform("s", lambda x: F.concat(F.lit("Supplier#"), F.lpad(x.cast("string"), 9, "0"))))  # of the group, not of each line
+    return grouped.select(F.col("l_orderkey").alias("txn"), R.transaction(F.col("c"), F.col("k"), names).alias("items"))
 
 
 def all_rules(spark, d):
@@ -98,7 +98,7 @@ def paper_baskets(spark, d):
 
 
 def rules_of_papers(spark, d):
-    return R.association_rules(R.frequent_pairs(staged(paper_baskets(spark, d)), PAPER_SUPPORT), PAPER_CONFIDENCE)
+    return R.association_rules(R.frequent_pairs(paper_baskets(spark, d), PAPER_SUPPORT), PAPER_CONFIDENCE)
 
 
 def paper_transactions(spark, d):

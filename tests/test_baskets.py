@@ -30,3 +30,15 @@ def test_every_order_is_a_basket(spark, small):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql_on_small_orders(spark, small, name):
     same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], small)
+
+
+def test_pairs_are_numbers_of_frequent_items():
+    import pyarrow as pa
+
+    from tessera.operators.rules import pair_keys, pairs_of
+
+    items = pa.array([["z"], ["c", "x", "a"], [], ["b", "a", "c"], ["a"]], pa.list_(pa.string())).slice(1)
+    names = pa.array(["a", "b", "c"])
+    keys = pair_keys(items, names)
+    assert sorted(keys.tolist()) == [1, 2, 2, 5]
+    assert pairs_of({2: 2}, names).to_pylist() == [{"a": "a", "b": "c", "n": 2}] and len(pair_keys(items, names.slice(0, 0))) == 0
