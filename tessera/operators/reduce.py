@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal
-from tessera.operators.cluster import BLOCK, squared
+from tessera.operators.pairs import BLOCK, squared
 
 
 def gram(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:

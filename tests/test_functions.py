@@ -188,3 +188,36 @@ def test_dbscan_numbers_clusters_and_borders(spark):
     found = {r.id: (r.cluster_id, r.is_core) for r in dbscan_labels(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.95, 3).collect()}
     assert found[0][0] == found[1][0] == found[2][0] == found[3][0] != found[4][0] == found[5][0] == found[6][0]
     assert found[7] == (-1, False) and found[3] == (0 if found[0][0] == 0 else 1, False) and {found[0][0], found[4][0]} == {0, 1}
+
+
+def test_dbscan_in_parts_is_dbscan_of_all(spark, monkeypatch):
+    """Several parts and tasks, a dense group, a chain, noise and border rows: cores and classes as brute force finds them."""
+    from tessera.operators import pairs
+
+    pick = np.random.default_rng(2)
+    x = np.concatenate([pick.normal(0, 0.05, (60, 2)), np.stack([np.arange(40) * 0.3 + 3, np.zeros(40)], 1), pick.uniform(-20, 20, (80, 2)), np.full((20, 2), 9.0)])
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.35**2
+    core = near.sum(1) >= 3
+    root = np.arange(len(x))
+    for i in np.nonzero(core)[0]:
+        for j in np.nonzero(near[i] & core)[0]:
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    monkeypatch.setattr(pairs, "PART", 64)
+    monkeypatch.setattr(pairs, "OWN", 50)
+    found = {r.id: r for r in dbscan_labels(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 0.35, 3).collect()}
+    assert [found[i].is_core for i in range(len(x))] == core.tolist()
+    cores = np.nonzero(core)[0]
+    assert len({(root[i], found[i].cluster_id) for i in cores}) == len({root[i] for i in cores}) == len({found[i].cluster_id for i in cores})
+    for i in np.nonzero(~core)[0]:
+        assert found[i].cluster_id == min((found[j].cluster_id for j in np.nonzero(near[i] & core)[0]), default=-1)
+
+
+def test_kmeans_moves_all_starts_in_one_pass(spark):
+    """The centres are those of one of the starts moved by hand, at the least cost of them."""
+    from tessera.operators import cluster
+
+    pick = np.random.default_rng(4)
+    x = np.concatenate([pick.normal(c, 0.6, (150, 3)) for c in (0, 2, 4, 6)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    best = min((cluster.lloyd(x, c) for c in cluster.seeds(df.select("v"), [4], 3)[4]), key=lambda f: f[0])
+    assert np.allclose(cluster.kmeans(df, "v", 4, 3), best[1])
