@@ -221,3 +221,26 @@ def test_kmeans_moves_all_starts_in_one_pass(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     best = min((cluster.lloyd(x, c) for c in cluster.seeds(df.select("v"), [4], 3)[4]), key=lambda f: f[0])
     assert np.allclose(cluster.kmeans(df, "v", 4, 3), best[1])
+
+
+def test_grid_shares_trees_and_distances_and_finds_what_single_fits_find(spark):
+    from tessera.operators import cluster, gridsearch
+
+    pick = np.random.default_rng(6)
+    x = np.concatenate([pick.normal(c, 0.3, (40, 3)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    grids = {"kmeans": [{"k": 3, "starts": 2}], "dbscan": gridsearch.grid(eps=[0.001, 0.5], min_samples=[3, 5]), "agglomerative": gridsearch.grid(k=[3, 7], linkage=["ward", "average"]) + [{"k": 3, "linkage": "none", "metric": "none"}], "other": [{"k": 1}]}
+    rows = {(r.method, r.parameters): r for r in gridsearch.fits(df, "id", "v", grids).collect()}
+    assert len(rows) == 11 and rows["other", "k=1"].status == "failed: KeyError"
+    for eps, least in ((0.001, 3), (0.5, 3), (0.5, 5)):
+        label = [r.cluster_id for r in dbscan_labels(df, "id", "v", eps, least).collect()]
+        row = rows["dbscan", f"eps={eps}, min_samples={least}"]
+        assert (row.n_clusters_found, row.noise_ratio) == (len(set(label) - {-1}), label.count(-1) / len(label))
+    assert rows["dbscan", "eps=0.001, min_samples=3"].status == "too_few_clusters"
+    for k in (3, 7):
+        assert rows["agglomerative", f"k={k}, linkage=average"].n_clusters_found == k
+        label = merge_tree(x, k, "average")
+        own = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, v array<double>, c int")
+        want = evaluate.silhouette(own, "id", "v", "c").agg(F.avg("silhouette")).first()[0]
+        assert math.isclose(rows["agglomerative", f"k={k}, linkage=average"].silhouette_score, want, rel_tol=1e-9)
+    assert rows["kmeans", "k=3, starts=2"].status == "valid"
