@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal
+from tessera.operators import pairs as P
+from tessera.operators.cluster import numbered
 from tessera.operators.pairs import BLOCK, squared
 
 
@@ -79,6 +81,14 @@ def layout(x: np.ndarray, neighbours: int = 15, rounds: int = 120, seed: int = 4
         part = np.argpartition(gap, k - 1, axis=1)[:, :k]
         part = np.take_along_axis(part, np.take_along_axis(gap, part, axis=1).argsort(axis=1), axis=1)
         near[at : at + BLOCK], d[at : at + BLOCK] = part, np.take_along_axis(gap, part, axis=1)
+    return arranged(y, near, d, rounds, seed)
+
+
+def arranged(y: np.ndarray, near: np.ndarray, d: np.ndarray, rounds: int = 120, seed: int = 42) -> np.ndarray:
+    """``y``, moved along the graph of each row's neighbours, nearest first, at the distances ``d``."""
+    n, k = near.shape
+    if k < 1:
+        return y
     rho, goal = d[:, :1], math.log2(max(k, 2))
     low, high = np.full((n, 1), 1e-4), np.full((n, 1), 1e3)
     for _ in range(40):
@@ -110,14 +120,48 @@ def layout(x: np.ndarray, neighbours: int = 15, rounds: int = 120, seed: int = 4
     return y
 
 
+def neighbours_of(df: DataFrame, id_col: str, column: str, k: int) -> DataFrame:
+    """(id, m, y, near, gap) of every row: its number, its first two principal coordinates, the numbers of its k nearest rows and their distances, by parts of all rows."""
+    rows = numbered(df, id_col, column)
+    n = rows.count()
+    k = min(k, max(n - 1, 0))
+    mean, axes, _ = components(rows, "v", 2)
+    parts = P.Parts(rows, "m", lambda t: (t.column("m").to_numpy(), P.matrix(t.column("v"))), n)
+
+    def scan(batches):
+        b = P.whole(batches)
+        if b is None:
+            return
+        m, q = np.asarray(b.column("m")), P.matrix(b.column("v"))
+        near, best = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        for number, x in parts:
+            for at in range(0, len(q) if k and len(x) else 0, BLOCK):
+                gap = squared(q[at : at + BLOCK], x)
+                gap[m[at : at + BLOCK, None] == number[None, :]] = np.inf
+                few = np.argpartition(gap, k - 1, axis=1)[:, :k] if k < len(x) else np.broadcast_to(np.arange(len(x)), gap.shape)
+                both = np.concatenate([best[at : at + BLOCK], np.take_along_axis(gap, few, axis=1)], 1)
+                names = np.concatenate([near[at : at + BLOCK], number[few]], 1)
+                order = both.argsort(axis=1, kind="stable")[:, :k]
+                best[at : at + BLOCK], near[at : at + BLOCK] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+        lists = lambda a: pa.array(list(a), pa.list_(pa.from_numpy_dtype(a.dtype)))
+        y = np.zeros((len(q), 2))
+        y[:, : len(axes)] = (q - mean) @ axes.T
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(m), lists(y), lists(near), lists(np.sqrt(best))], names=["id", "m", "y", "near", "gap"])
+
+    return P.dealt(rows, n).mapInArrow(scan, f"id {dict(df.dtypes)[id_col]}, m long, y array<double>, near array<long>, gap array<double>")
+
+
 def umap_layout(df: DataFrame, id_col: str, column: str, neighbours: int = 15) -> DataFrame:
-    """(id, umap_x, umap_y) of every row, as one group: the layout moves all points together."""
-    rows = df.select(id_col, F.col(column).cast("array<double>").alias("v"))
+    """(id, umap_x, umap_y) of every row: neighbours are found in many tasks, and one then moves all points together, in time proportional to the rows."""
+    rows = neighbours_of(df, id_col, column, neighbours)
 
     def fit(pdf):
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        y = layout(np.array(pdf.v.tolist()), neighbours)
-        return pdf[[id_col]].assign(umap_x=y[:, 0], umap_y=y[:, 1])
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        start, number = np.stack(pdf.y), pdf.m.to_numpy()
+        order = number.argsort()
+        near = order[np.searchsorted(number, np.stack(pdf.near), sorter=order)]
+        y = arranged(10 * start / max(np.abs(start).max(), 1e-9), near, np.stack(pdf.gap))
+        return pdf[["id"]].rename(columns={"id": id_col}).assign(umap_x=y[:, 0], umap_y=y[:, 1])
 
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(fit, f"{id_col} {dict(df.dtypes)[id_col]}, umap_x double, umap_y double")
 

@@ -244,3 +244,18 @@ def test_grid_shares_trees_and_distances_and_finds_what_single_fits_find(spark):
         want = evaluate.silhouette(own, "id", "v", "c").agg(F.avg("silhouette")).first()[0]
         assert math.isclose(rows["agglomerative", f"k={k}, linkage=average"].silhouette_score, want, rel_tol=1e-9)
     assert rows["kmeans", "k=3, starts=2"].status == "valid"
+
+
+def test_layout_finds_its_neighbours_in_parts(spark, monkeypatch):
+    from tessera.operators import pairs, reduce
+
+    pick = np.random.default_rng(8)
+    x = pick.normal(size=(150, 4))
+    monkeypatch.setattr(pairs, "PART", 40)
+    monkeypatch.setattr(pairs, "OWN", 30)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows = reduce.neighbours_of(df, "id", "v", 7).collect()
+    own = {r.m: r.id for r in rows}
+    gap = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(150, np.inf))
+    assert {r.id: [own[m] for m in r.near] for r in rows} == {i: g.argsort()[:7].tolist() for i, g in enumerate(gap)}
+    assert all(math.isclose(d, math.sqrt(gap[r.id, own[m]])) for r in rows for m, d in zip(r.near, r.gap, strict=True))
